@@ -23,7 +23,7 @@ _ODD = rf"{_BLANK} | {_BLANK}|^ | $|\x00"
 class ChunkEncoder:
     """``spaced``: the vocabulary is byte level and keeps the space before a word; else white space is dropped."""
 
-    def __init__(self, path: str, spaced: bool, keep: int = 600_000):
+    def __init__(self, path: str, spaced: bool, keep: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -35,7 +35,12 @@ class ChunkEncoder:
             self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.n_bytes[i] = len(token)
+        else:  # the last token of each pre-token says so
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = token.endswith("</w>")
         self.seen: dict[str, bytes] = {}
+        self.points: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
@@ -43,42 +48,54 @@ class ChunkEncoder:
     def _chunks(self, chunks: list[str], many: int = 200) -> list[bytes]:
         """Ids of each chunk; many go to the library as one string."""
         out: list[bytes] = []
-        size = np.dtype(self.kind).itemsize
         for at in range(0, len(chunks), many):
-            some = chunks[at : at + many]
-            joined = (" " + " ".join(some)) if self.spaced else self.mark.join(some)
-            if joined.count(self.mark) != (0 if self.spaced else len(some) - 1):
-                out += [self.whole(" " + c if self.spaced else c).tobytes() for c in some]
-                continue
+            out += self._joined(chunks[at : at + many])
+        return out
+
+    def _joined(self, some: list[str]) -> list[bytes]:
+        words = self.spaced or all(map(str.isalpha, some))
+        joined = " " + " ".join(some) if words else self.mark.join(some)
+        if joined.count(self.mark) == (0 if words else len(some) - 1):
             ids = self.whole(joined)
             if self.spaced:
                 ends = np.cumsum([len(c.encode()) + 1 for c in some])
                 ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "left") + 1
                 starts = np.append(0, ends[:-1])
+            elif words:
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                starts = np.append(0, ends[:-1])
             else:
                 ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
                 starts = np.append(0, ends[:-1] + 1)
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist())]
-        return out
+            if len(ends) == len(some):
+                raw, size = ids.tobytes(), ids.itemsize
+                return [raw[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist())]
+        return [self.whole(" " + c if self.spaced else c).tobytes() for c in some]
 
     def _lookup(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct chunks.  In a byte-level vocabulary a leading NUL marks the head of a text: no space precedes it."""
-        found: list = list(map(self.seen.get, words))
-        new = [k for k, f in enumerate(found) if f is None]
-        if not new:
-            return found
-        heads = [k for k in new if self.spaced and words[k][:1] == "\0"]
-        for k in heads:
-            found[k] = self.whole(words[k][1:]).tobytes()
-        new = [k for k in new if found[k] is None]
-        for k, ids in zip(new, self._chunks([words[k] for k in new])):
-            found[k] = ids
-        if len(self.seen) + len(new) > self.keep:
-            self.seen = dict(zip(words, found)) if len(words) <= self.keep else {}
-        else:
-            self.seen.update((words[k], found[k]) for k in new)
-        return found
+        """Ids of distinct chunks.  In a byte-level vocabulary a leading NUL marks the head of a text: no space precedes it.
+
+        A comma or full stop after a small letter is a pre-token of its own, so the chunk before it is looked up.
+        """
+        tails = [w[-1:] if w[-1:] in (",", ".") and w[-2:-1].islower() and w[-2].isalpha() else "" for w in words]
+        stems = [w[:-1] if t else w for w, t in zip(words, tails)]
+        seen = self.seen
+        need = {w for w in stems if w not in seen}
+        if need:
+            if len(seen) + len(need) > self.keep:
+                met = set(stems)
+                self.seen = seen = {w: x for w, x in seen.items() if w in met}
+            heads = [w for w in need if self.spaced and w[:1] == "\0"]
+            need.difference_update(heads)
+            rest = sorted(need, key=str.isalpha)
+            seen.update(zip(rest, self._chunks(rest)))
+            seen.update((w, self.whole(w[1:]).tobytes()) for w in heads)
+        return [seen[w] + self._point(t) if t else seen[w] for w, t in zip(stems, tails)]
+
+    def _point(self, mark: str) -> bytes:
+        if mark not in self.points:
+            self.points[mark] = self.whole(mark).tobytes()
+        return self.points[mark]
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
