@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, mixing, packing, quality
+from . import exact, jaccard, mixing, packing, quality, rans
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(documents(spark, sf_dir))
 
 
+def op4_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), 50257)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
