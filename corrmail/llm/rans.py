@@ -29,7 +29,7 @@ from .tokens import encoder
 
 #: Fixed values of the format.
 MAGIC, BITS, LOW = b"RNS1", 20, 1 << 31
-LANES, STEPS, FRAME_TOKENS = 1024, 64, 1 << 17
+LANES, STEPS, FRAME_TOKENS = 2048, 64, 1 << 18
 _HEAD = struct.Struct("<4s8I")
 
 

@@ -135,7 +135,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
     return np.append(w[0] - slopes @ mean, slopes)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, words: int = 8, size: int = 1 << 14, most_pieces: int = 2000, lift: float = 4.0, contexts: int = 6, level: int = 3, rounds: int = 2) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, words: int = 16, size: int = 1 << 14, most_pieces: int = 2000, lift: float = 4.0, contexts: int = 6, level: int = 3, rounds: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.filter(fold() != 2)
