@@ -18,7 +18,6 @@ copies if their texts are alike.  An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -157,39 +156,96 @@ def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return common >= threshold * either - 1e-9
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows with equal keys, from batches that are sorted by them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns], np.zeros(batch.num_rows - 1, bool))
+        if rest and any(rest[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns)):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            rest.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(rest)
+                rest = []
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+KEYS = ["run", "bucket", "b1", "b2"]
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of a bucket of ``n`` sets once for each pair of blocks they belong to, in the order of the pairs."""
+    n_blocks = F.ceil(F.col("n") / block)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    rows = rows.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("other")
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
+
+
+def promising(found: DataFrame, sets: DataFrame, block: int, least: float) -> DataFrame:
+    """The rows of ``found`` whose signature agrees in ``least`` of its places with another one of the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, KEYS):
+            m = table.num_rows
+            if m < 2:
+                continue
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(m, -1)
+            need = least * sig.shape[1]
+            if m == 2:
+                near = np.full(2, (sig[0] == sig[1]).sum() >= need)
+            else:
+                near = np.zeros(m, bool)
+                for k in range(m - 1):
+                    hit = (sig[k + 1 :] == sig[k]).sum(1) >= need
+                    near[k + 1 :] |= hit
+                    near[k] |= hit.any()
+            if near.any():
+                yield from table.select(["rep", "run", "bucket"]).filter(pa.array(near)).combine_chunks().to_batches()
+
+    rows = _in_blocks(found.join(sets.select("rep", "sig"), "rep"), block)
+    return rows.mapInArrow(run, "rep long, run int, bucket long").distinct()
+
+
 def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, threshold: float, block: int) -> DataFrame:
-    """(rep, root, n_links): links of each set that its buckets count, and the smallest set linked with it there."""
-    alike = found.groupBy("run", "bucket", "n").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-    first = alike.groupBy("n", "who").agg(F.min(F.struct("run", "bucket")).alias("b")).select("b.run", "b.bucket")  # the same sets once
+    """(rep, root, n_links): links of each set that its buckets count, and the smallest set linked with it there.
+
+    Buckets with the same sets are compared once.  Only texts that a signature calls promising are hashed again.
+    """
+    sizes = found.groupBy("run", "bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+    first = sizes.groupBy("n", "who").agg(F.min(F.struct("run", "bucket")).alias("b")).select("n", "b.run", "b.bucket")
     seen = found.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", "bucket"))).alias("seen"))
-    tasks = checkpointed(found.join(first, ["run", "bucket"], "left_semi"))
-    reps = tasks.select("rep").distinct().join(seen, "rep").join(sets.select("rep", "set_key", "copies"), "rep")
+    todo = found.join(first, ["run", "bucket"]).groupBy("rep").agg(F.collect_list(F.struct("run", "bucket", "n")).alias("todo"))
+    reps = todo.join(seen, "rep").join(sets.select("rep", "set_key", "copies"), "rep")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in _slices(batch.column(1)):
+            for at, texts in _slices(batch.column(0)):
                 hashes, count = shingle_hashes(texts, width)
                 raws = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(count)[:-1])]
-                keys = [hashlib.md5(x).digest() for x in raws]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(raws)), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["rep", "key", "set"])
+                part = batch.slice(at, len(raws))
+                same = pa.array([hashlib.md5(x).digest() == k for x, k in zip(raws, part.column(1).to_pylist())])
+                columns = [part.column(k) for k in range(2, 6)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(raws, pa.binary())], names=["rep", "copies", "seen", "todo", "set"]).filter(same)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(reps.select("rep"), "rep", "left_semi").mapInArrow(hashed, "rep long, key binary, set binary")
-    full = texts.join(reps, "rep").filter(F.col("key") == F.col("set_key")).dropDuplicates(["rep"]).drop("key", "set_key")
-    rows = tasks.join(materialize(full, "sets"), "rep")
-    n_blocks = F.ceil(F.col("n") / block)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    rows = rows.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
+    pairs = "array<struct<run: int, bucket: bigint, n: bigint>>"
+    full = texts.join(reps, "rep").select("text", "set_key", "rep", "copies", "seen", "todo").mapInArrow(hashed, f"rep long, copies long, seen map<int, bigint>, todo {pairs}, set binary")
+    rows = _in_blocks(full.select("rep", "copies", "seen", "set", F.inline("todo")), block)
 
-    def compare(table: pa.Table) -> pa.Table:
-        m, run = table.num_rows, table.column("run")[0].as_py()
-        empty = {"rep": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())}
+    def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        rep, order = np.unique(table.column("rep").to_numpy(), return_index=True)
+        m, run = len(rep), table.column("run")[0].as_py()
         if m < 2:
-            return pa.table(empty)
-        rep, copies, own = (table.column(c).to_numpy() for c in ("rep", "copies", "own"))
-        order = np.argsort(rep)
+            return None
+        copies, own = (table.column(c).to_numpy()[order] for c in ("copies", "own"))
         raw = table.column("set").to_pylist()
-        rep, copies, own = rep[order], copies[order], own[order]
         linked = _linked([np.frombuffer(raw[k], np.uint64) for k in order], threshold)
         i, j = np.nonzero(np.triu(linked, 1))
         if table.column("b1")[0].as_py() != table.column("b2")[0].as_py():
@@ -202,7 +258,7 @@ def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, thresh
             use = ~((at[i] == at[j]) & here[i] & here[j])
             i, j = i[use], j[use]
         if not len(i):
-            return pa.table(empty)
+            return None
         counts = np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
         root = np.arange(m)
         while True:
@@ -215,9 +271,20 @@ def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, thresh
                 break
             root = new
         some = np.flatnonzero(counts)
-        return pa.table({"rep": pa.array(rep[some]), "root": pa.array(rep[root[some]]), "n_links": pa.array(counts[some].astype(np.int64))})
+        return rep[some], rep[root[some]], counts[some].astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list = []
+        for table in _groups(batches, KEYS):
+            if (got := compare(table)) is not None:
+                out.append(got)
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["rep", "root", "n_links"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["rep", "root", "n_links"])
 
-    return rows.groupBy("run", "bucket", "b1", "b2").applyInArrow(compare, "rep long, root long, n_links long")
+    return rows.mapInArrow(run, "rep long, root long, n_links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,7 +316,8 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
         found.append(some)
         missed *= (1 - threshold**deepest) ** runs
         done += runs
-    found = checkpointed(reduce(DataFrame.union, found))
+    least = threshold - 5 * (threshold * (1 - threshold) / places) ** 0.5  # five standard deviations of the agreement
+    found = checkpointed(promising(reduce(DataFrame.union, found), sets, small, least))
     linked = checkpointed(links(found, sets, docs, width, threshold, small))
     labels = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("rep").agg(F.sum("n_links").alias("far"))
