@@ -123,6 +123,7 @@ def buckets(sets: DataFrame, runs: range, depth: int, small: int, shrink: float)
     for level in range(depth):
         at = rest.withColumn("bucket", F.get("path", F.lit(level)))
         sizes = at.groupBy("run", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        sizes = checkpointed(sizes)  # read apart from its shuffle, so that a join with large buckets can be split
         at = checkpointed(at.join(sizes, ["run", "bucket"]))
         stops = (F.col("n") <= small) | (F.col("n") > shrink * F.col("parent")) | F.lit(level + 1 == depth)
         stops = F.coalesce(stops, F.lit(False))
