@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, mixing, packing, quality, rans, toxicity
+from . import exact, jaccard, linededup, mixing, packing, pages, quality, rans, suffix, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeats(documents(spark, sf_dir))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(documents(spark, sf_dir))
 
@@ -40,6 +44,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.drop_repeated_lines(documents(spark, sf_dir)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
@@ -53,5 +65,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
+ORACLES = {
+    "op8_line_dedup": """
+        with lines as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+        windows as (select doc_id, i, l[i] as a, l[i + 1] as b, l[i + 2] as c
+                    from (select doc_id, l, unnest(range(1, len(l) - 1)) as i from lines where len(l) >= 3)),
+        ranked as (select doc_id, i, row_number() over (partition by a, b, c order by doc_id, i) as k from windows),
+        gone as (select distinct doc_id, unnest([i, i + 1, i + 2]) as i from ranked where k > 1),
+        per as (select doc_id, list(i) as gone from gone group by doc_id)
+        select doc_id, len(l)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_removed,
+               sha256(array_to_string(list_filter(l, lambda x, i: not list_contains(coalesce(gone, []), i)), chr(10))) as kept_sha256
+        from lines left join per using (doc_id)
+    """,
+    "op9_exact_dedup": """
+        with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+        select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
+        from t window w as (partition by t)
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
