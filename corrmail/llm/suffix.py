@@ -27,8 +27,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
-
 #: Bytes of a repeat, of an anchor, and of what may stand before and after an anchor's start.
 LENGTH, KMER = 100, 32
 BEFORE = LENGTH - KMER
@@ -200,13 +198,12 @@ def window_repeats(keys: np.ndarray, places: np.ndarray, most: int = 1 << 17) ->
     return tuple(np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
 
 
-def repeated_spans(docs: DataFrame, batch_bytes: int = 4 << 20, shard_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, batch_bytes: int = 2 << 20, shard_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """(documents dealt into batches, (batch, spans) with the covered spans of each batch as packed numbers)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches = max(4 * shuffle_partitions(spark), -(-total // batch_bytes))
-    n_shards = max(4 * shuffle_partitions(spark), -(-total // shard_bytes))
+    n_batches, n_shards = max(1, -(-total // batch_bytes)), max(1, -(-total // shard_bytes))
     texts = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)))
 
     def shards(hashes: np.ndarray) -> np.ndarray:
