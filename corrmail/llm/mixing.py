@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, chunk_count, chunk_of, materialize, prefix_sum
+from .common import WORD, checkpointed, chunk_count, chunk_of, materialize, prefix_sum, shuffle_partitions
 
 #: Weights of the sources in their order, repeating; how often a source may be repeated.
 WEIGHTS = (5, 2, 1)
@@ -78,6 +78,7 @@ def block_uses(sources: DataFrame, block: int, slots: int, seed: int, most: int
     shards = shards.withColumn("drawn", F.when(F.col("upto") == 1.0, here - F.greatest(F.ceil(here * F.col("from") - offset), F.lit(0))).otherwise(drawn))
     shards = shards.filter("drawn > 0").withColumn("run", (F.col("shard") / 1024).cast("long"))
     numbered = prefix_sum(shards, ["sid"], "run", [F.col("shard")], F.col("drawn"), "first")
+    numbered = numbered.repartition(shuffle_partitions(sources.sparkSession), "sid", "first")  # few rows make many slots
     slot = numbered.select("sid", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)).alias("slot"))
     slot = slot.filter(F.col("slot") < most * F.col("n_blocks"))
     turn = F.floor(F.col("slot") / F.col("n_blocks"))
@@ -97,7 +98,7 @@ def _spans(docs: DataFrame, block: int, slots: int, seed: int) -> tuple[DataFram
     uses = block_uses(sources, block, slots, seed)
     reach = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
     cut = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, reach)))
-    cut = cut.join(uses, ["sid", "block"], "left")
+    cut = cut.join(uses.hint("merge"), ["sid", "block"], "left")
     lo = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     hi = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
     return rows, cut.select("_row", "doc_id", "size", "source_size", "target", lo.alias("lo"), hi.alias("hi"), F.coalesce("uses", F.lit(0)).alias("uses"))
