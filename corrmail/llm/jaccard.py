@@ -68,6 +68,7 @@ def _slices(texts: pa.Array, most_bytes: int = 16 << 20) -> Iterator[tuple[int,
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
         yield at, texts.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def signatures(docs: DataFrame, width: int, places: int) -> DataFrame:

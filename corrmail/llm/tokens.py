@@ -23,7 +23,7 @@ _ODD = rf"{_BLANK} | {_BLANK}|^ | $|\x00"
 class ChunkEncoder:
     """``spaced``: the vocabulary is byte level and keeps the space before a word; else white space is dropped."""
 
-    def __init__(self, path: str, spaced: bool, keep: int = 900_000):
+    def __init__(self, path: str, spaced: bool, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -142,6 +142,7 @@ class ChunkEncoder:
             to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
             yield (at, *self._slice(texts.slice(at, to - at)))
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 @lru_cache(maxsize=4)
