@@ -70,7 +70,7 @@ def merged_table(people: DataFrame, status: DataFrame, my_status: DataFrame, rul
         rows = rows.join(overrides.select("email", *[F.col(f).alias(f"new_{f}") for f in OVERRIDABLE]), "email", "left")
         for f, c in final.items():
             rows = rows.withColumn(c, F.coalesce(f"new_{f}", c))
-    doubt = F.col("needs_review") | (F.col("confidence") < SURE_ENOUGH)
+    doubt = F.col("needs_review") | (F.col("sure") < SURE_ENOUGH)
     out = rows.select(
         "email", "name", "institution", "emails", "first_sent_at", "last_sent_at", "send_count", "correspondence",
         F.col("status").alias("has_real_reply"), "reply_time", "responder", F.col("summary").alias("reply_summary"),

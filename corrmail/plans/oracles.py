@@ -105,13 +105,24 @@ def _sure(t: str) -> str:
     return f"""case when {_any(t, _NEG)} then 0.7::double when {_any(t, _POS)} then case when {_any(t, ("thation", "keit", "mente", "elleou"))} then 0.7::double else 0.5::double end when {_any(t, _UNC)} then 0.5::double else 0.4::double end"""
 
 
+_QUOTE = r"^(>+\s*|-{3,}\s*原始邮件|-{3,}\s*Original Message|发件人[:：]|From[:：]|在\s+\d{4}|On\s+[\p{L}\p{N}_]+,?\s+[\p{L}\p{N}_]+|\*{3}\s*|_{3,})"
+
+
+def _read_part(c: str) -> str:
+    """The new part of a body, or all of it where that is blank."""
+    lines = f"string_split({c}, chr(10))"
+    at = f"list_position(list_transform({lines}, lambda x: regexp_matches({_strip('x')}, '{_QUOTE}')), true)"
+    new = f"case when coalesce({at}, 0) = 0 then {_strip(c)} else {_strip(f'array_to_string({lines}[1:{at} - 1], chr(10))')} end"
+    return f"case when {new} <> '' then {new} else {c} end"
+
+
 _TABLES = f"""
 intents(code, label, done, todo, bucket) as (values {", ".join(f"({_q(k)}, {_q(L.INTENTS[k])}, {_q(v[0])}, {_q(v[1])}, {_q(v[2]) if v[2] else 'null'})" for k, v in L.INTENT_ACTIONS.items())}),
 actions(code, label, step) as (values {", ".join(f"({_q(k)}, {_q(v)}, {_q(L.NEXT_STEPS[k])})" for k, v in L.ACTIONS.items())})
 """
 _MERGED = f"""
-read as (select s.*, my_status, case when status = '是' and not trim(reply_body) = '' then {_intent("reply_body")} when status = '否' then 'NO_REPLY' else 'UNCERTAIN' end as code,
-    case when status = '是' then {_sure("reply_body")} when status = '否' then 0.9::double else 0.3::double end as sure from stat s join mine using (email)),
+read as (select s.*, my_status, case when status = '是' and not trim(reply_body) = '' then {_intent("t")} when status = '否' then 'NO_REPLY' else 'UNCERTAIN' end as code,
+    case when status = '是' then {_sure("t")} when status = '否' then 0.9::double else 0.3::double end as sure from (select *, {_read_part('reply_body')} as t from stat) s join mine using (email)),
 acted as (select r.*, i.label as intent, i.bucket, case when status = '否' then 'CONSIDER_FOLLOWUP' when status = '是' and my_status = '已回复' then i.done when status = '是' then i.todo else 'UNCERTAIN' end as act from read r join intents i on i.code = r.code),
 merged as (select row_number() over (order by p.name, p.email) as "index", p.*, '发送 ' || send_count || ' 封' || case when n > 0 then '，收到 ' || n || ' 封回复' else '' end as correspondence,
     status as has_real_reply, coalesce(reply_time, '') as reply_time, coalesce(responder, '') as responder, intent as admission_intent, my_status as my_reply_status, c.label as action_required, sure as confidence, bucket, act, true as needs_review
@@ -137,7 +148,6 @@ folders as (select page_id, name, case when trash then 'trash' when contains(low
     when contains(lower(name), 'junk') then 'spam' when contains(lower(name), 'deleted') then 'trash' when contains(lower(name), 'all mail') then 'archive' else 'other' end as folder_type from f)
 """
 
-_QUOTE = r"^(>+\s*|-{3,}\s*原始邮件|-{3,}\s*Original Message|发件人[:：]|From[:：]|在\s+\d{4}|On\s+[\p{L}\p{N}_]+,?\s+[\p{L}\p{N}_]+|\*{3}\s*|_{3,})"
 _HASHED = "select doc_id, sha256(regexp_replace({text}, '{pattern}', '{mask}', 'g')) as masked from documents"
 _DOC = "coalesce(text, '')"
 _MERGED_COLUMNS = '"index", email, name, institution, first_sent_at, last_sent_at, send_count, correspondence, has_real_reply, reply_time, responder, admission_intent, my_reply_status, action_required, confidence, needs_review'
@@ -177,7 +187,7 @@ ORACLES: dict[str, str] = {
     "reply_status": _with("select email, status, n as n_replies, reply_id, coalesce(reply_time, '') as reply_time from stat", _SCORE, _PEOPLE),
     "unanswered_replies": _with("select email, id, date from openr", _SCORE, _PEOPLE),
     "my_reply": _with("select email, my_status, open_id from mine", _SCORE, _PEOPLE),
-    "rule_intent": _with(f"select id, case when trim(body) = '' then 'UNCERTAIN' else r.code end as rule_intent, a.code as rule_action, sure as rule_confidence, a.step as rule_next_step from (select id, body, {_intent('body')} as code, {_sure('body')} as sure from m) r join intents i on i.code = r.code join actions a on a.code = case when id % 2 = 0 then i.done else i.todo end", _TABLES),
+    "rule_intent": _with(f"select id, case when trim(body) = '' then 'UNCERTAIN' else r.code end as rule_intent, a.code as rule_action, sure as rule_confidence, a.step as rule_next_step from (select id, body, {_intent('t')} as code, {_sure('t')} as sure from (select id, body, {_read_part('body')} as t from m)) r join intents i on i.code = r.code join actions a on a.code = case when id % 2 = 0 then i.done else i.todo end", _TABLES),
     "merged_table": _with(f"select {_MERGED_COLUMNS} from merged", _SCORE, _PEOPLE, _TABLES, _MERGED),
     "stats_overview": _with("select * from stats", _SCORE, _PEOPLE, _TABLES, _MERGED, _STATS),
     "stats_long": _with("select x.label, x.value from (select unnest([" + ", ".join(f"{{'label': {_q(label)}, 'value': {c}::varchar}}" for c, label in L.STAT_LABELS.items()) + "]) as x from stats)", _SCORE, _PEOPLE, _TABLES, _MERGED, _STATS),
@@ -185,7 +195,7 @@ ORACLES: dict[str, str] = {
     "override_pivot": "select user_id, " + ", ".join(f"max_by(value, (ts, event_id)) filter (event_type = '{f}') as {f}, min_by(value, (ts, event_id)) filter (event_type = '{f}') as old_{f}" for f in ("view", "click", "purchase", "signup", "error")) + " from events group by user_id",
     "override_history": "select event_id, c_name as name, value from events join customer on c_custkey = user_id where event_type = 'error'",
     "search_filter": _with(f"select email, has_real_reply from merged where has_real_reply = '是' and contains(lower(concat_ws(' ', {_MERGED_COLUMNS})), 'p1')", _SCORE, _PEOPLE, _TABLES, _MERGED),
-    "review_queue": _with("select email, 'flagged' as why from merged", _SCORE, _PEOPLE, _TABLES, _MERGED),
+    "review_queue": _with("select email, 'flagged' as why from merged union all select email, 'low_confidence' from merged where confidence < 0.5", _SCORE, _PEOPLE, _TABLES, _MERGED),
     "reply_bundle": _with("select email, sha256(string_agg(body, chr(10) || '---' || chr(10) order by date, id)) as bundle_hash from rel join m using (id) where trim(body) <> '' group by email", _SCORE, _PEOPLE),
     "changed_fields": "select c_custkey, 'c_mktsegment' as field, c_mktsegment as old_value, 'NEW' as new_value from customer where c_custkey % 7 = 0 and c_mktsegment <> 'NEW'",
     "evidence_listing": _with("select email, id, case when row_number() over (partition by email order by date, id) = 1 then '首次套磁' when contains(lower(subject), 're:') then '我的回复' else '补发邮件' end as role, date, left(body, 50) as preview from contact", _SCORE, _PEOPLE),
