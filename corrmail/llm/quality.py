@@ -32,7 +32,7 @@ RULES: dict[str, tuple[str, float, float]] = {
     "capitals": ("n_upper / n_letters", 0.15, 0.4),
     "exclaims": ("n_exclaims / n_words", 0.05, 0.3),
     "stutters": ("n_stutters / n_words", 0.02, 0.2),
-    "letters": ("1 - n_letters / word_chars", 0.12, 0.3),
+    "marks": ("1 - n_alnum / word_chars", 0.12, 0.3),
     "word_length": ("abs(word_chars / n_words - 6)", 3.0, 6.0),
 }
 
@@ -67,6 +67,7 @@ def with_features(docs: DataFrame) -> DataFrame:
         .withColumn("n_stutters", F.size(F.filter("_words", lambda w, i: (i > 0) & (F.get("_words", i - 1) == w))).cast("long"))
         .withColumn("n_upper", counted(r"\p{Lu}"))
         .withColumn("n_letters", counted(r"\p{L}"))
+        .withColumn("n_alnum", counted(r"[\p{L}\p{N}]"))
         .withColumn("n_exclaims", counted("!"))
     )
     return df.drop("_text", "_words", "_windows", "_placed", "_twice", "_lines")
