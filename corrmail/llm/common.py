@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corrmail.operators.graph import checkpointed
+
+__all__ = ["SPACE", "WORD", "checkpointed", "chunk_count", "chunk_of", "materialize", "prefix_sum", "shared_dir", "shuffle_partitions"]
+
 #: The white space that separates words, and what a word is made of.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,12 +33,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` after making sure that a reliable folder is set."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
