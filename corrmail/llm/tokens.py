@@ -8,6 +8,8 @@ out again.  Texts in which the rule does not hold go to the library whole.
 
 from __future__ import annotations
 
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +22,16 @@ _BLANK = r"[\t-\r\x1c-\x20\x85\x{a0}\p{Z}]"
 _ODD = rf"{_BLANK} | {_BLANK}|^ | $|\x00"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies use for each byte: printable bytes stand for themselves."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    other = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
 class ChunkEncoder:
     """``spaced``: the vocabulary is byte level and keeps the space before a word; else white space is dropped."""
 
@@ -29,6 +41,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.keep = spaced, keep
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
         if spaced:  # a byte-level token has one letter for each of its bytes
@@ -45,11 +58,24 @@ class ChunkEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a chunk of letters alone: it is one pre-token, so it goes to the model itself."""
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(_LETTERS[32] + text if self.spaced else text)]).tobytes()
+
+    def _is_word(self, chunk: str) -> bool:
+        if not chunk.isalpha():
+            return False
+        return self.spaced or chunk.isascii() and chunk.islower() or chunk == chunk.lower() and unicodedata.is_normalized("NFC", chunk)
+
     def _chunks(self, chunks: list[str], many: int = 200) -> list[bytes]:
-        """Ids of each chunk; many go to the library as one string."""
-        out: list[bytes] = []
-        for at in range(0, len(chunks), many):
-            out += self._joined(chunks[at : at + many])
+        """Ids of each chunk; of those that are not plain words, many go to the library as one string."""
+        out: list = [self._word(c) if self._is_word(c) else None for c in chunks]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for at in range(0, len(rest), many):
+            some = rest[at : at + many]
+            for k, ids in zip(some, self._joined([chunks[k] for k in some])):
+                out[k] = ids
         return out
 
     def _joined(self, some: list[str]) -> list[bytes]:
@@ -87,7 +113,7 @@ class ChunkEncoder:
                 self.seen = seen = {w: x for w, x in seen.items() if w in met}
             heads = [w for w in need if self.spaced and w[:1] == "\0"]
             need.difference_update(heads)
-            rest = sorted(need, key=str.isalpha)
+            rest = list(need)
             seen.update(zip(rest, self._chunks(rest)))
             seen.update((w, self.whole(w[1:]).tobytes()) for w in heads)
         return [seen[w] + self._point(t) if t else seen[w] for w, t in zip(stems, tails)]
