@@ -138,7 +138,7 @@ stats as (select (select count(*) from m) as total_related_emails, (select count
 """
 _SYNC = """
 e as (select user_id % 5 as folder_id, event_id as uid, event_type, case when user_id % 5 = 2 then 8 else 7 end as epoch from events),
-st as (select folder_id, max(uid) - 500 as last from e where uid % 3 = 0 and folder_id < 4 group by folder_id),
+st as (select folder_id, max(uid) - 500 as last from e where folder_id < 4 group by folder_id),
 fresh as (select e.* from e left join st using (folder_id) where st.last is null or e.epoch <> 7 or e.uid > st.last),
 nxt as (select folder_id, max(epoch) as uidvalidity, max(uid) as last_sync_uid from fresh group by folder_id union all select folder_id, 7, last from st where folder_id not in (select folder_id from fresh))
 """
@@ -154,8 +154,8 @@ _MERGED_COLUMNS = '"index", email, name, institution, first_sent_at, last_sent_a
 
 ORACLES: dict[str, str] = {
     "subject_normalize": _with(rf"select id, subject, norm as subject_normalized, regexp_matches({_strip('subject')}, '^(Re|RE|re|回复|答复)\s*[:：]') as is_reply, regexp_matches({_strip('subject')}, '^(Fw|FW|Fwd|FWD|转发)\s*[:：]') as is_forward from m"),
-    "fullwidth_fold": f"select doc_id, translate('Ａ１（' || left({_DOC}, 60) || '）　ｚ', {_q(_FULL)}, {_q(_HALF)}) as folded from documents",
-    "subject_similarity": _with(f"select id, round({_jaccard(_letters('norm'), _letters('s'))}, 6) as jaccard, norm <> '' and s <> '' and (norm = s or {_jaccard(_letters('norm'), _letters('s'))} >= 0.6) as similar from (select id, norm, {_norm('left(body, 40)')} as s from m where norm <> '')"),
+    "fullwidth_fold": f"select doc_id, translate('Ａ１（' || {_DOC} || '）　ｚ', {_q(_FULL)}, {_q(_HALF)}) as folded from documents",
+    "subject_similarity": _with(f"select id, round({_jaccard(_letters('norm'), _letters('s'))}, 6) as jaccard, norm <> '' and s <> '' and (norm = s or {_jaccard(_letters('norm'), _letters('s'))} >= 0.6) as similar from (select id, norm, {_norm('body')} as s from m where norm <> '')"),
     "quote_split": _with(f"select id, case when p = 0 then {_strip('t')} else {_strip('array_to_string(l[1:p - 1], chr(10))')} end as new_part, case when p = 0 then '' else {_strip('array_to_string(l[p:], chr(10))')} end as quoted_part from (select id, t, l, coalesce(list_position(list_transform(l, lambda x: regexp_matches({_strip('x')}, '{_QUOTE}')), true), 0) as p from (select *, string_split(t, chr(10)) as l from (select id, body || case when id % 3 = 0 then chr(10) || '> quoted line' || chr(10) || 'after' when id % 3 = 1 then chr(10) || 'From: somebody' || chr(10) || 'older' else '' end as t from m)))"),
     "evidence_sentences": _with(f"select id, len(s)::bigint as n_sentences, array_to_string(list_filter(s, lambda x: length(x) >= 4 and {_any('x', _POS)})[1:5], '|') as evidence from (select id, list_filter(list_transform(regexp_split_to_array(body, '[。！？\\n;；.!?]+'), lambda x: {_strip('x')}), lambda x: x <> '') as s from m)"),
     "content_hash": _with("select id, left(sha256(message_id || '|' || subject || '|' || left(body, 500)), 16) as content_hash from m"),
@@ -164,7 +164,7 @@ ORACLES: dict[str, str] = {
     "mask_phone": _HASHED.format(text=_DOC, pattern=L.PHONE, mask=L.PHONE_MASK),
     "mask_id": _HASHED.format(text=_DOC, pattern=L.NATIONAL_ID, mask=L.NATIONAL_ID_MASK),
     "mask_address": _HASHED.format(text=f"{_DOC} || chr(10) || '住在北京市海淀区中关村大街一号楼' || chr(10)", pattern=L.ADDRESS, mask=L.ADDRESS_MASK),
-    "mask_email": rf"""select doc_id, regexp_replace(regexp_replace(left({_DOC}, 200), '([\p{{L}}\p{{N}}_.+-])[\p{{L}}\p{{N}}_.+-]{{2,}}@([\p{{L}}\p{{N}}_.-]+\.[\p{{L}}\p{{N}}_]+)', '\1***@\2', 'g'), '(^|[^\p{{L}}\p{{N}}_.+*-])[\p{{L}}\p{{N}}_.+-]{{1,2}}@([\p{{L}}\p{{N}}_.-]+\.[\p{{L}}\p{{N}}_]+)', '\1***@\2', 'g') || ' ***@x.org or Keep.Me@Example.com, l***@mail.example.com' as masked from documents""",
+    "mask_email": rf"""select doc_id, regexp_replace(regexp_replace({_DOC}, '([\p{{L}}\p{{N}}_.+-])[\p{{L}}\p{{N}}_.+-]{{2,}}@([\p{{L}}\p{{N}}_.-]+\.[\p{{L}}\p{{N}}_]+)', '\1***@\2', 'g'), '(^|[^\p{{L}}\p{{N}}_.+*-])[\p{{L}}\p{{N}}_.+-]{{1,2}}@([\p{{L}}\p{{N}}_.-]+\.[\p{{L}}\p{{N}}_]+)', '\1***@\2', 'g') || ' ***@x.org or Keep.Me@Example.com, l***@mail.example.com' as masked from documents""",
     "privacy_warnings": f"select doc_id, concat_ws('; ', case when regexp_matches({_DOC}, '{L.PHONE}') then '包含手机号码' end, case when regexp_matches({_DOC}, '{L.NATIONAL_ID}') then '包含身份证号码' end, case when len(regexp_extract_all({_DOC}, '{_EMAIL}')) > 0 then '包含 ' || len(regexp_extract_all({_DOC}, '{_EMAIL}')) || ' 个邮箱地址' end) as found from documents",
     "formula_guard": "select p_partkey, case when left(x, 1) in ('=', '+', '-', '@') then '''' || x else x end as guarded, case when length(p_name) > 10 then left(p_name, 10) || '...' else p_name end as short from (select *, ['=', '+', '-', '@', ''][p_partkey % 5 + 1] || p_name as x from part)",
     "contact_score": _with("select id, score >= 0.2 as is_contact, round(least(score, 1.0), 9)::double as confidence, score >= 0.2 and score < 0.6 as contact_review, (n + system::int + (score >= 0.2 and score < 0.4)::int)::bigint as n_reasons from scored", _SCORE),

@@ -48,14 +48,14 @@ def subject_normalize(spark, sf_dir):
 
 
 def fullwidth_fold(spark, sf_dir):
-    wide = F.concat(F.lit("Ａ１（"), F.substring(F.coalesce("text", F.lit("")), 1, 60), F.lit("）　ｚ"))
+    wide = F.concat(F.lit("Ａ１（"), F.coalesce("text", F.lit("")), F.lit("）　ｚ"))
     return _table(spark, sf_dir, "documents").select("doc_id", text.half_width(wide).alias("folded"))
 
 
 def subject_similarity(spark, sf_dir):
-    rows = _messages(spark, sf_dir).filter("subject_normalized != ''").select("id", "from_email", F.substring("body_text", 1, 40).alias("start"), "subject_normalized")
-    a, b = text.letters_of("subject_normalized"), text.letters_of("start")
-    return rows.select("id", F.round(text.letter_jaccard(a, b), 6).alias("jaccard"), text.subjects_similar("subject_normalized", "start", 0.6).alias("similar"))
+    rows = _messages(spark, sf_dir).filter("subject_normalized != ''").select("id", "from_email", "body_text", "subject_normalized")
+    a, b = text.letters_of("subject_normalized"), text.letters_of("body_text")
+    return rows.select("id", F.round(text.letter_jaccard(a, b), 6).alias("jaccard"), text.subjects_similar("subject_normalized", "body_text", 0.6).alias("similar"))
 
 
 def quote_split(spark, sf_dir):
@@ -103,7 +103,7 @@ def mask_address(spark, sf_dir):
 
 
 def mask_email(spark, sf_dir):
-    body = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit(" ab@x.org or Keep.Me@Example.com, long.name@mail.example.com"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" ab@x.org or Keep.Me@Example.com, long.name@mail.example.com"))
     return _table(spark, sf_dir, "documents").select("doc_id", privacy.mask_emails(body, ["keep.me@example.com"]).alias("masked"))
 
 
@@ -267,7 +267,7 @@ def evidence_listing(spark, sf_dir):
 
 def _sync_tables(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("folder_id"), F.col("event_id").alias("uid"), "event_type").withColumn("account_id", F.lit(1).cast("long")).withColumn("uidvalidity", F.when(F.col("folder_id") == 2, 8).otherwise(7).cast("long"))
-    state = events.filter("uid % 3 = 0 and folder_id < 4").groupBy("account_id", "folder_id").agg((F.max("uid") - 500).cast("long").alias("last_sync_uid")).withColumn("uidvalidity", F.lit(7).cast("long"))
+    state = events.filter("folder_id < 4").groupBy("account_id", "folder_id").agg((F.max("uid") - 500).cast("long").alias("last_sync_uid")).withColumn("uidvalidity", F.lit(7).cast("long"))
     return events, state
 
 
