@@ -10,6 +10,9 @@ against the arrays of the levels (an equal record is a repeat; the earlier one s
 merge.  Records that share an anchor but differ somewhere are then compared window by window.  All comparisons are
 of bytes, so the result is exact.
 
+An anchor met very often is hot.  Its records are dealt by their own hash instead of the anchor's, and windows of
+its distinct records are rows that Spark groups by their bytes, so no task holds all contexts of one anchor.
+
 Null text is empty.  A null doc_id comes first.  Rows that repeat a doc_id follow each other in the order of their
 bytes.  An empty table gives no rows.
 """
@@ -23,9 +26,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import materialize, shuffle_partitions
 
 #: Bytes of a repeat, of an anchor, and of what may stand before and after an anchor's start.
 LENGTH, KMER = 100, 32
@@ -34,6 +41,8 @@ BEFORE = LENGTH - KMER
 WIDTH = 8 + LENGTH + BEFORE + 2
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACE = np.dtype([("doc", "<i8"), ("nth", "<u4"), ("low", "<i8"), ("most", "u1"), ("least", "u1")])
+#: A packed hot record: record, place, batch.
+_HOT = WIDTH + _PLACE.itemsize + 8
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -113,6 +122,11 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").reshape(-1)
 
 
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values occur in the sorted array ``some``."""
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values if len(some) else np.zeros(len(values), bool)
+
+
 def _earlier(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether places ``a`` come before places ``b``."""
     return (a["doc"] < b["doc"]) | (a["doc"] == b["doc"]) & ((a["nth"] < b["nth"]) | (a["nth"] == b["nth"]) & (a["low"] < b["low"]))
@@ -169,6 +183,33 @@ class SuffixFamily:
 _COLUMNS = np.array([[8 + LENGTH + o - 1 - t if t < o else 8 + t - o for t in range(LENGTH)] for o in range(BEFORE + 1)])
 
 
+def _windows(places: np.ndarray, at: np.ndarray, first: int = 0, last: int = BEFORE) -> tuple[np.ndarray, np.ndarray]:
+    """(record, bytes before the anchor) of the windows of records ``at`` that start ``first`` to ``last`` bytes before it."""
+    low = np.maximum(places["least"][at].astype(np.int64), first)
+    count = np.maximum(np.minimum(places["most"][at].astype(np.int64), last) - low + 1, 0)
+    return np.repeat(at, count), np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _window_keys(rows: np.ndarray, rec: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Anchor hash, place in the record and bytes of each window."""
+    text = np.empty((len(rec), 10 + LENGTH), np.uint8)
+    text[:, :8], text[:, 8], text[:, -1] = rows[rec, :8], o, 1
+    text[:, 9:-1] = rows[rec[:, None], _COLUMNS[o]]
+    return _keys(text)
+
+
+def hot_windows(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window key, record, window start, whether an earlier record here has it) of all windows of the records."""
+    rec, o = _windows(places, np.arange(len(keys)))
+    start = places["low"][rec] + places["most"][rec] - o
+    text = _window_keys(keys.view(np.uint8).reshape(-1, WIDTH), rec, o)
+    _, same = np.unique(text, return_inverse=True)
+    order = np.lexsort((start, places["nth"][rec], places["doc"][rec], same))
+    again = np.zeros(len(rec), bool)
+    again[order[1:]] = same[order[1:]] == same[order[:-1]]
+    return text, rec, start, again
+
+
 def window_repeats(keys: np.ndarray, places: np.ndarray, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """(record, window start) of the windows of distinct records that an earlier record with the same anchor has too."""
     rows = keys.view(np.uint8).reshape(-1, WIDTH)
@@ -184,22 +225,64 @@ def window_repeats(keys: np.ndarray, places: np.ndarray, most: int = 1 << 17) ->
     while lo < len(at):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
         hi = int(np.searchsorted(group, group[hi - 1], "right"))
-        rec = np.repeat(at[lo:hi], count[lo:hi])
-        o = places["least"][rec].astype(np.int64) + np.arange(len(rec)) - np.repeat(total[lo:hi] - count[lo:hi] - (total[lo - 1] if lo else 0), count[lo:hi])
-        text = np.empty((len(rec), 10 + LENGTH), np.uint8)
-        text[:, :8], text[:, 8], text[:, -1] = rows[rec, :8], o, 1
-        text[:, 9:-1] = rows[rec[:, None], _COLUMNS[o]]
-        _, same = np.unique(_keys(text), return_inverse=True)
-        start = places["low"][rec] + places["most"][rec] - o
-        order = np.lexsort((start, places["nth"][rec], places["doc"][rec], same))
-        again = order[1:][same[order[1:]] == same[order[:-1]]]
-        found.append((rec[again], start[again]))
+        step = max(1, most // (hi - lo))  # equal windows start equally far before the anchor
+        for first in range(0, BEFORE + 1, step):
+            rec, o = _windows(places, at[lo:hi], first, first + step - 1)
+            start = places["low"][rec] + places["most"][rec] - o
+            _, same = np.unique(_window_keys(rows, rec, o), return_inverse=True)
+            order = np.lexsort((start, places["nth"][rec], places["doc"][rec], same))
+            again = order[1:][same[order[1:]] == same[order[:-1]]]
+            found.append((rec[again], start[again]))
         lo = hi
     return tuple(np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
 
 
-def repeated_spans(docs: DataFrame, batch_bytes: int = 2 << 20, shard_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
-    """(documents dealt into batches, (batch, spans) with the covered spans of each batch as packed numbers)."""
+def _packed_spans(batch: np.ndarray, nth: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(batch, its spans as packed numbers)."""
+    spans = np.column_stack([nth.astype(np.int64), low, high])
+    order = np.argsort(batch, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(batch[order]) != 0)).tolist() if len(order) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+        yield int(batch[order[lo]]), spans[order[lo:hi]].tobytes()
+
+
+def _high(places: np.ndarray) -> np.ndarray:
+    return places["low"] + places["most"].astype(np.int64) - places["least"] + LENGTH
+
+
+def _hot_spans(records: DataFrame) -> DataFrame:
+    """(batch, spans) of the windows of hot records that an earlier hot record has too; ``records`` are packed."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                raw = np.frombuffer(blob, np.uint8).reshape(-1, _HOT)
+                places = np.ascontiguousarray(raw[:, WIDTH:-8]).view(_PLACE).reshape(-1)
+                batch_of = np.ascontiguousarray(raw[:, -8:]).view(np.int64).reshape(-1)
+                text, rec, start, again = hot_windows(_keys(raw[:, :WIDTH]), places)
+                # a repeat found here needs no partner: it gets a key of its own
+                own = np.column_stack([batch_of[rec], places["nth"][rec].astype(np.int64), start]).astype(np.int64)
+                keys = [own[k].tobytes() if x else bytes(text[k]) for k, x in enumerate(again.tolist())]
+                columns = [pa.array(keys, pa.binary()), pa.array(again), pa.array(places["doc"][rec])]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, own.T.copy())], names=["w", "again", "doc", "batch", "nth", "low"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, nth, low = (batch.column(k).to_numpy() for k in range(3))
+            out = list(_packed_spans(b, nth, low, low + LENGTH))
+            b, x = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(x, pa.binary())], names=["batch", "spans"])
+
+    rows = records.mapInArrow(explode, "w binary, again boolean, doc long, batch long, nth long, low long")
+    place = F.row_number().over(Window.partitionBy("w").orderBy("doc", "nth", "low"))
+    return rows.withColumn("place", place).filter("again or place > 1").select("batch", "nth", "low").mapInArrow(pack, "batch long, spans binary")
+
+
+def repeated_spans(docs: DataFrame, batch_bytes: int = 2 << 20, shard_bytes: int = 8 << 20, hot: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(documents dealt into batches, (batch, spans) with the covered spans of each batch as packed numbers).
+
+    Anchors that occur more than ``hot`` times are hot.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -219,69 +302,93 @@ def repeated_spans(docs: DataFrame, batch_bytes: int = 2 << 20, shard_bytes: int
         data, starts, ends, _, table = _batch(table)
         got = [x[0] for x in anchors(data, starts, ends)]
         hashes, counts = np.unique(np.concatenate(got), return_counts=True) if got else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        out = [(s, hashes[k].tobytes(), np.packbits(counts[k] > 1).tobytes()) for s, k in by_shard(shards(hashes))]
+        out = [(s, hashes[k].tobytes(), np.minimum(counts[k], 65535).astype("<u2").tobytes()) for s, k in by_shard(shards(hashes))]
         s, h, m = zip(*out) if out else ((), (), ())
         batch = table.column("batch")[0].as_py()
         return pa.table({"shard": pa.array(s, pa.int64()), "batch": pa.array([batch] * len(out), pa.int64()), "hashes": pa.array(h, pa.binary()), "many": pa.array(m, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(b)) for x, b in zip(table.column("many").to_pylist(), blobs)]
+        many = np.frombuffer(b"".join(table.column("many").to_pylist()), "<u2")
         values, at = np.unique(np.concatenate(blobs), return_inverse=True)
-        repeated = np.bincount(at, 1 + np.concatenate(many), len(values)) > 1
-        parts = np.split(repeated[at], np.cumsum([len(b) for b in blobs])[:-1])
-        return pa.table({"batch": table.column("batch"), "hashes": pa.array([b[x].tobytes() for b, x in zip(blobs, parts)], pa.binary())})
+        total = np.bincount(at, many, len(values))
+        parts = np.split(total[at], np.cumsum([len(b) for b in blobs])[:-1])
+        found = [pa.array([b[use(x)].tobytes() for b, x in zip(blobs, parts)], pa.binary()) for use in (lambda x: (x > 1) & (x <= hot), lambda x: x > max(hot, 1))]
+        return pa.table({"batch": table.column("batch"), "hashes": found[0], "hot": found[1]})
 
     def extract(table: pa.Table, flags: pa.Table) -> pa.Table:
-        out: list[tuple[int, bytes]] = []
+        out: list[tuple] = []
         batch = None
         if table.num_rows and flags.num_rows:
             batch = table.column("batch")[0].as_py()
-            wanted = np.sort(np.frombuffer(b"".join(flags.column("hashes").to_pylist()), np.uint64))
+            cold, often = (np.sort(np.frombuffer(b"".join(flags.column(c).to_pylist()), np.uint64)) for c in ("hashes", "hot"))
             data, starts, ends, ids, _ = _batch(table)
-            parts: dict[int, list[bytes]] = {}
-            for got in anchors(data, starts, ends) if len(wanted) else ():
-                use = wanted[np.minimum(np.searchsorted(wanted, got[0]), len(wanted) - 1)] == got[0]
-                got = tuple(x[use] for x in got)
+            parts: dict[tuple[int, bool], list[bytes]] = {}
+            spans: list[bytes] = []
+            for got in anchors(data, starts, ends) if len(cold) + len(often) else ():
+                is_hot = _among(got[0], often)
+                use = is_hot | _among(got[0], cold)
+                got, is_hot = tuple(x[use] for x in got), is_hot[use]
                 _, doc, p, lo, hi = got
                 place = np.zeros(len(doc), _PLACE)
                 place["doc"], place["nth"], place["low"], place["most"], place["least"] = ids[doc], doc, lo - starts[doc], p - lo, p - hi
-                rows = np.concatenate([_records(data, got), place.view(np.uint8).reshape(len(doc), -1)], axis=1)
-                for s, k in by_shard(shards(got[0])):
-                    parts.setdefault(s, []).append(rows[k].tobytes())
-            out = [(s, zstandard.compress(b"".join(x), 1)) for s, x in parts.items()]
-        s, r = zip(*out) if out else ((), ())
-        return pa.table({"shard": pa.array(s, pa.int64()), "batch": pa.array([batch] * len(out), pa.int64()), "records": pa.array(r, pa.binary())})
+                rows = _records(data, got)
+                _, first = np.unique(_keys(rows), return_index=True)  # anchors come in the order of their places
+                rest = np.ones(len(doc), bool)
+                rest[first] = False
+                spans += [x for _, x in _packed_spans(np.full(rest.sum(), batch), place["nth"][rest], place["low"][rest], _high(place[rest]))]
+                first.sort()
+                rows, place, is_hot, dealt = rows[first], place[first], is_hot[first], got[0][first]
+                dealt[is_hot] = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in rows[is_hot]]
+                rows = np.concatenate([rows, place.view(np.uint8).reshape(len(place), -1)], axis=1)
+                for kind in (False, True):
+                    some = np.flatnonzero(is_hot == kind)
+                    for s, k in by_shard(shards(dealt[some])):
+                        parts.setdefault((s, kind), []).append(rows[some[k]].tobytes())
+            out = [(s, kind, zstandard.compress(b"".join(x), 1), None) for (s, kind), x in parts.items()]
+            if spans:
+                out.append((batch % n_shards, None, None, b"".join(spans)))
+        columns = list(zip(*out)) if out else [()] * 4
+        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        s, h, r, x = (pa.array(c, k) for c, k in zip(columns, kinds))
+        return pa.table({"shard": s, "batch": pa.array([batch] * len(out), pa.int64()), "hot": h, "records": r, "spans": x})
 
     def index(table: pa.Table) -> pa.Table:
-        family = SuffixFamily()
+        families = {False: SuffixFamily(), True: SuffixFamily()}
         order = np.argsort(table.column("batch").to_numpy(), kind="stable").tolist()
-        blobs, batches = table.column("records"), table.column("batch")
+        blobs, batches, kinds = table.column("records"), table.column("batch"), table.column("hot").to_pylist()
+        out = [(b, x, None) for b, x in zip(batches.to_pylist(), table.column("spans").to_pylist()) if x is not None]
         for k in order:
-            raw = np.frombuffer(zstandard.decompress(blobs[k].as_py()), np.uint8).reshape(-1, WIDTH + _PLACE.itemsize)
-            places = np.ascontiguousarray(raw[:, WIDTH:]).view(_PLACE).reshape(-1)
-            family.add(raw[:, :WIDTH], places, batches[k].as_py())
-        keys, places, batch_of = family.close()
-        rec, start = window_repeats(keys, places)
-        whole = [np.concatenate(x) for x in zip(*family.repeats)] if family.repeats else [np.empty(0, _PLACE), np.empty(0, np.int64)]
-        batch = np.concatenate([whole[1], batch_of[rec]])
-        nth = np.concatenate([whole[0]["nth"], places["nth"][rec]]).astype(np.int64)
-        low = np.concatenate([whole[0]["low"], start])
-        high = np.concatenate([whole[0]["low"] + whole[0]["most"].astype(np.int64) - whole[0]["least"] + LENGTH, start + LENGTH])
-        spans = np.column_stack([nth, low, high])
-        out = [(b, spans[k].tobytes()) for b, k in by_shard(batch)]
-        b, x = zip(*out) if out else ((), ())
-        return pa.table({"batch": pa.array(b, pa.int64()), "spans": pa.array(x, pa.binary())})
+            if kinds[k] is not None:
+                raw = np.frombuffer(zstandard.decompress(blobs[k].as_py()), np.uint8).reshape(-1, WIDTH + _PLACE.itemsize)
+                places = np.ascontiguousarray(raw[:, WIDTH:]).view(_PLACE).reshape(-1)
+                families[kinds[k]].add(raw[:, :WIDTH], places, batches[k].as_py())
+        for kind, family in families.items():
+            whole = [np.concatenate(x) for x in zip(*family.repeats)] if family.repeats else [np.empty(0, _PLACE), np.empty(0, np.int64)]
+            out += [(b, x, None) for b, x in _packed_spans(whole[1], whole[0]["nth"], whole[0]["low"], _high(whole[0]))]
+            keys, places, batch_of = family.close()
+            if not len(keys):
+                continue
+            if kind:
+                rows = np.concatenate([keys.view(np.uint8).reshape(-1, WIDTH), places.view(np.uint8).reshape(len(keys), -1), batch_of.view(np.uint8).reshape(-1, 8)], axis=1)
+                out += [(None, None, rows[k : k + 2048].tobytes()) for k in range(0, len(rows), 2048)]
+            else:
+                rec, start = window_repeats(keys, places)
+                out += [(b, x, None) for b, x in _packed_spans(batch_of[rec], places["nth"][rec], start, start + LENGTH)]
+        b, x, r = zip(*out) if out else ((), (), ())
+        return pa.table({"batch": pa.array(b, pa.int64()), "spans": pa.array(x, pa.binary()), "records": pa.array(r, pa.binary())})
 
     met = texts.groupBy("batch").applyInArrow(collect, "shard long, batch long, hashes binary, many binary")
-    flags = met.groupBy("shard").applyInArrow(count, "batch long, hashes binary")
-    records = texts.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(extract, "shard long, batch long, records binary")
-    return texts, records.groupBy("shard").applyInArrow(index, "batch long, spans binary")
+    flags = met.groupBy("shard").applyInArrow(count, "batch long, hashes binary, hot binary")
+    records = texts.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(extract, "shard long, batch long, hot boolean, records binary, spans binary")
+    found = materialize(records.groupBy("shard").applyInArrow(index, "batch long, spans binary, records binary"), "spans")
+    often = found.filter("records is not null").select("records").repartition(shuffle_partitions(spark))
+    return texts, found.filter("spans is not null").select("batch", "spans").union(_hot_spans(often))
 
 
-def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, keep_text: bool = False, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; ``keep_text`` adds the remaining bytes."""
-    texts, spans = repeated_spans(docs)
+    texts, spans = repeated_spans(docs, **options)
 
     def rebuild(table: pa.Table, found: pa.Table) -> pa.Table:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text]

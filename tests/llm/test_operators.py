@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from bisect import bisect_left, insort
 
@@ -133,6 +134,33 @@ def test_suffix_dedup(spark, docs, empty):
     assert suffix.drop_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_hot_anchors(spark):
+    passage = prose(21, 60)
+    rows = [(k, f"{prose(300 + k, 12)} {passage} {prose(900 + k % 40, 12)}", *[None] * 7) for k in range(120)]
+    rows += [(500 + k, f"{passage[:150]} {prose(k, 30)}", *[None] * 7) for k in range(30)] + [(600, "ab" * 300, *[None] * 7)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for hot in (1, 20, 100):
+        got = suffix.drop_repeats(df, batch_bytes=8 << 10, shard_bytes=16 << 10, hot=hot).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows)
+
+
+def test_window_repeats_of_one_anchor_are_bounded():
+    n = 4000
+    rows = np.random.default_rng(0).integers(0, 256, (n, suffix.WIDTH), dtype=np.uint8)
+    rows[:, :8], rows[:, -1], rows[:10, 8:-2] = 7, 1, rows[0, 8:-2]
+    rows[:, -2] = np.arange(n) % 50 + 1
+    places = np.zeros(n, suffix._PLACE)
+    places["doc"], places["most"] = np.arange(n), suffix.BEFORE
+    tracemalloc.start()
+    try:
+        rec, start = suffix.window_repeats(suffix._keys(rows), places, most=1 << 13)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(set(rec.tolist())) == list(range(1, 10)) and len(rec) == 9 * (suffix.BEFORE + 1)
+    assert peak < 40 << 20  # all windows at once: over 250 MB
+
+
 def test_suffix_family_over_many_batches():
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab") for _ in range(130)) for _ in range(12)] + ["a" * 300]
