@@ -2,12 +2,13 @@
 
 Pages are cut into blocks.  Elements that are boilerplate by name or class (menus, forms, scripts, adverts, comments)
 go; blocks of an article or main element stay.  Where a page has neither, structure does not decide: the page is
-paired with its neighbours by URL path within its host, the blocks are aligned by longest common subsequence, and
-those that a neighbour shares go.  Differencing alone would keep menus that differ from page to page and delete
-articles that two pages share.
+paired with the nearest different pages before and after it by URL path within its host, the blocks are aligned by
+longest common subsequence, and those that such a neighbour shares go.  Pages are different unless their blocks are
+equal but for letter case and numbers, so copies do not delete each other.  Differencing alone would keep menus that
+differ from page to page.
 
-Null or empty html has an empty text.  Pages without a host pair with each other.  Repeated rows keep their article;
-without an article element they share all blocks, so their text is empty.  An empty table gives no rows.
+Null or empty html has an empty text.  Pages without a host pair with each other.  A host with one page, or with
+copies of one page only, keeps all blocks.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -125,34 +126,83 @@ def _blocks_of(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "page_id long, url string, blocks array<string>, decided boolean")
 
 
+def _outside(ends: list) -> list[tuple[int, int, int, str]]:
+    """(range, -1 or 1, other range, its end): where the nearest page before or after a range is that differs from the range's end.
+
+    ``ends`` has for each range, in order: part, the host and key of its first page, the key of the first different
+    page of that host, and the same from its last page back.
+    """
+    found = []
+    for side, own, near, far, back in ((1, "tail", "head", "head2", "tail"), (-1, "head", "tail", "tail2", "head")):
+        row = sorted(ends, key=lambda r: side * r["part"])
+        for k, r in enumerate(row):
+            host, key = r[f"{own}_host"], r[f"{own}_near"]
+            for x in row[k + 1 :]:
+                if x[f"{near}_host"] != host:
+                    break
+                if x[f"{near}_near"] != key or x[f"{far}_near"] is not None:
+                    found.append((r["part"], side, x["part"], near if x[f"{near}_near"] != key else far))
+                    break
+                if x[f"{back}_host"] != host:
+                    break
+    return found
+
+
 def _undecided(rows: DataFrame) -> DataFrame:
-    """Rows without the blocks that the page before or after it by URL path shares."""
+    """Rows without the blocks that the nearest different page before or after by URL path shares."""
+    spark = rows.sparkSession
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    keyed = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
-    order = ["host", "path", "page_id"]
-    ordered = keyed.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    near = F.xxhash64(F.transform("blocks", lambda b: F.regexp_replace(F.lower(b), "[0-9]+", "0")))
+    keyed = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit(""))).withColumn("near", near)
+    order = ["host", "path", "page_id", "near", "blocks"]
+    ordered = keyed.repartitionByRange(shuffle_partitions(spark), *order[:3]).withColumn("part", F.spark_partition_id())
+    ordered = materialize(ordered.select("part", "url", *order), "ranges")
+
+    place = F.struct(*order)
+    ends = ordered.groupBy("part").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
+    ends = materialize(ends, "ends")
+    keys = F.broadcast(ends.select("part", *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("head", "tail") for c in ("host", "near")]))
+    other = [F.when((F.col("host") == F.col(f"{e}_host")) & (F.col("near") != F.col(f"{e}_near")), place) for e in ("head", "tail")]
+    seconds = ordered.join(keys, "part").groupBy("part").agg(F.min(other[0]).alias("head2"), F.max(other[1]).alias("tail2"))
+    ends = materialize(ends.join(seconds, "part"), "ends")
+    small = ends.select("part", *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("head", "head2", "tail", "tail2") for c in ("host", "near")])
+    links = spark.createDataFrame(_outside(small.collect()), "part int, side int, other int, end string")  # at most two for each range
+    each = [ends.select(F.col("part").alias("other"), F.lit(e).alias("end"), F.col(e).alias("x")) for e in ("head", "head2", "tail", "tail2")]
+    far = each[0].union(each[1]).union(each[2]).union(each[3]).join(F.broadcast(links), ["other", "end"])
+    far = far.select("part", "side", F.lit(None).cast("string").alias("url"), "x.*")
+    both = ordered.withColumn("side", F.lit(0)).unionByName(far)
+    both = both.repartition("part").sortWithinPartitions("part", "side", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def trimmed(row: tuple, *near: tuple | None) -> list[str]:
+        def trimmed(blocks: list[str], *others: list[str] | None) -> list[str]:
             gone: set[int] = set()
-            for x in near:
-                if x is not None and x[4] == row[4]:
-                    gone |= shared_lines(row[2], x[2])
-            return [t for k, t in enumerate(row[2]) if k not in gone]
+            for x in others:
+                if x is not None:
+                    gone |= shared_lines(blocks, x)
+            return [t for k, t in enumerate(blocks) if k not in gone]
+
+        def ended(after: list[str] | None) -> list[tuple]:
+            return [(i, u, trimmed(b, before, after)) for i, u, b, side in copies if side == 0]
 
-        before = here = None
+        before, group, key, copies = None, None, None, []
         for batch in batches:
             out = []
-            for after in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if here is not None:
-                    out.append((here[0], here[1], trimmed(here, before, after)))
-                before, here = here, after
+            for page_id, url, blocks, side, part, host, near in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if (part, host) != group:
+                    out += ended(None)
+                    before, copies = None, []
+                elif near != key:
+                    out += ended(blocks)
+                    before, copies = copies[-1][2], []
+                group, key = (part, host), near
+                if copies and copies[-1][2] == blocks:
+                    blocks = copies[-1][2]
+                copies.append((page_id, url, blocks, side))
             yield _rows(out)
-        if here is not None:
-            yield _rows([(here[0], here[1], trimmed(here, before))])
+        yield _rows(ended(None))
 
-    return ordered.select("page_id", "url", "blocks", "decided", "host").mapInArrow(run, "page_id long, url string, blocks array<string>")
+    return both.select("page_id", "url", "blocks", "side", "part", "host", "near").mapInArrow(run, "page_id long, url string, blocks array<string>")
 
 
 def _rows(out: list) -> pa.RecordBatch:
@@ -161,7 +211,7 @@ def _rows(out: list) -> pa.RecordBatch:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page.  A page at the edge of a range of URLs has one neighbour."""
+    """(page_id, url, text, n_chars) of every page."""
     rows = materialize(_blocks_of(pages), "blocks")
     both = rows.filter("decided").drop("decided").union(_undecided(rows.filter("not decided")))
     text = F.array_join("blocks", "\n")

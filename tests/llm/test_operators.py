@@ -357,6 +357,21 @@ def test_pages(spark):
     assert pages.shared_lines(list("abcab"), list("xabay")) == {0, 1, 3}
 
 
+def test_pages_next_to_copies_and_cuts(spark):
+    bare = lambda own: f"<html><body><div>Site name</div><p>{own}</p><div>All rights</div></body></html>"
+    names = ["alpha", "beta", "beta", "beta", "gamma", "delta", "delta", "epsilon", "zeta", "eta", "eta", "theta"]
+    rows = [(k, f"http://b.example/{k // 2:02}?q={k}", bare(f"{name} seen {k} times")) for k, name in enumerate(names)]
+    rows += [(50 + k, f"http://c.example/{k}", bare("same")) for k in range(9)] + [(90, "http://d.example/", bare("same"))]
+    expected = {k: f"{name} seen {k} times" for k, name in enumerate(names)} | {k: "Site name\nsame\nAll rights" for k in (*range(50, 59), 90)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    try:
+        for n in ("1", "4", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.page_id: r.text for r in pages.main_text(df).collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_line_dedup(docs, empty):
     seen, expected = {}, {}
     for doc_id, text, *_ in sorted(corpus()[:-2], key=lambda r: r[0]):
