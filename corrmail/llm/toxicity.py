@@ -1,7 +1,7 @@
 """Toxicity by compression distance (operator 10).
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary text, one on the same plus the pieces that
-toxic text has in many contexts and ordinary text in few.  A window of words that the second compresses better
+Two zstandard dictionaries are made of labelled text: one of ordinary text, one of the same plus a list of the pieces
+(words and word beginnings) that toxic text has in many contexts and ordinary text in few.  No other toxic text enters.  A window of words that the second compresses better
 resembles toxic text; a document's score comes from the differences of its windows, calibrated by a logistic model.
 
 Labels of rows whose crc32 (of the doc_id as text) leaves 2 when divided by 4 are never read.  Of the rest, remainder
