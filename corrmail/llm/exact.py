@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose equal has a larger doc_id; all columns stay."""
-    gone = exact_groups(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    """One row of each group of equal texts, that of the largest doc_id, then of the least columns; all columns stay."""
+    keyed = checkpointed(fingerprints(docs))
+    groups = checkpointed(verified_groups(docs, repeated_fingerprints(keyed)).select("sha", "keep_id"))
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(low.cast("binary"), 256).alias("sha")).join(groups.withColumn("many", F.lit(True)), "sha", "left")
+    one = rows.filter(F.col("many") & F.col("row.doc_id").cast("long").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("row").alias("row"))
+    return rows.filter("many is null").select("row.*").unionByName(one.select("row.*"))

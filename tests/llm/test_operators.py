@@ -404,6 +404,13 @@ def test_exact_dedup(docs, empty):
     assert exact.exact_groups(empty).count() == 0
 
 
+def test_drop_copies_decides_by_row(spark):
+    full = [(1, "same"), (7, "Same"), (7, "Same"), (3, "alpha"), (3, "only here"), (9, "ALPHA"), (None, "none"), (None, "none"), (None, "alpha"), (4, None), (5, "")]
+    df = spark.createDataFrame([(*r, *[None] * 7) for r in full], SCHEMA).repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in exact.drop_copies(df).collect()), key=str)
+    assert got == sorted([(7, "Same"), (3, "only here"), (9, "ALPHA"), (None, "none"), (5, "")], key=str)
+
+
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(4)]
