@@ -12,7 +12,7 @@ connected components.  Texts with equal shingle sets are one set with a multipli
 
 Words are runs without ASCII white space.  A text of one to four words is one shingle; a text without words (or a
 null) has no links.  A row without doc_id is not compared: it has no class.  Rows that repeat a doc_id count as
-copies if their texts are alike.  An empty table gives no rows.
+copies if their texts are alike, and else get the smallest class and the most links of their texts.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -226,7 +226,7 @@ def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, thresh
     first = sizes.groupBy("n", "who").agg(F.min(F.struct("run", "bucket")).alias("b")).select("n", "b.run", "b.bucket")
     seen = found.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", "bucket"))).alias("seen"))
     todo = found.join(first, ["run", "bucket"]).groupBy("rep").agg(F.collect_list(F.struct("run", "bucket", "n")).alias("todo"))
-    reps = todo.join(seen, "rep").join(sets.select("rep", "set_key", "copies"), "rep")
+    reps = todo.join(seen, "rep").join(sets.select("rep", "set_key", "copies", "first"), "rep")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +238,9 @@ def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, thresh
                 columns = [part.column(k) for k in range(2, 6)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(raws, pa.binary())], names=["rep", "copies", "seen", "todo", "set"]).filter(same)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("string").alias("text"))
     pairs = "array<struct<run: int, bucket: bigint, n: bigint>>"
-    full = texts.join(reps, "rep").select("text", "set_key", "rep", "copies", "seen", "todo").mapInArrow(hashed, f"rep long, copies long, seen map<int, bigint>, todo {pairs}, set binary")
+    full = texts.join(reps, "first").select("text", "set_key", "rep", "copies", "seen", "todo").mapInArrow(hashed, f"rep long, copies long, seen map<int, bigint>, todo {pairs}, set binary")
     rows = _in_blocks(full.select("rep", "copies", "seen", "set", F.inline("todo")), block)
 
     def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -294,8 +294,8 @@ def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, thresh
 def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.99, places: int = 64, runs: int = 10, depth: int = 6, small: int = 512, shrink: float = 0.5) -> DataFrame:
     """(doc_id, class_id, n_links) of every row.  class_id: smallest doc_id of the class; n_links: other rows at least ``threshold`` alike."""
     keyed = materialize(signatures(docs, width, places), "signatures")
-    grouped = keyed.groupBy("set_key", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    sets = checkpointed(grouped)
+    grouped = keyed.groupBy("set_key", "sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    sets = checkpointed(grouped.withColumn("rep", F.monotonically_increasing_id()))  # sets can share a doc_id
     found, missed, done = [], 1.0, 0
     while missed > 1 - recall:
         some, deepest = buckets(sets, range(done, done + runs), depth, small, shrink)
@@ -308,7 +308,9 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     labels = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("rep").agg(F.sum("n_links").alias("far"))
     each = sets.join(counts, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    each = each.select("set_key", F.coalesce("label", "rep").alias("class"), (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    each = checkpointed(each.withColumn("label", F.coalesce("label", "rep")))
+    smallest = checkpointed(each.groupBy("label").agg(F.min("first").alias("class")))
+    each = each.join(smallest, "label").select("set_key", "class", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("links"))
     member = keyed.select("doc_id", "set_key").distinct().join(each, "set_key").select(F.col("doc_id").alias("id"), "class", "links")
     member = member.groupBy("id").agg(F.min("class").alias("class"), F.max("links").alias("links"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))

@@ -228,6 +228,14 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.similar_classes(empty).count() == 0
 
 
+def test_jaccard_of_a_doc_id_with_several_texts(spark):
+    a, b = prose(31, 200), prose(32, 200)
+    rows = [(50, a), (50, b), (51, a + " x"), (52, b + " y"), (53, "z " + b), (54, prose(33, 90))]
+    df = spark.createDataFrame([(*r, *[None] * 7) for r in rows], SCHEMA).repartition(3)
+    got = {tuple(r) for r in jaccard.similar_classes(df).collect()}
+    assert got == {(50, 50, 2), (51, 50, 1), (52, 50, 2), (53, 50, 2), (54, 54, 0)}
+
+
 def test_rans(docs, empty):
     from tokenizers import Tokenizer
 
