@@ -66,11 +66,12 @@ def _permuted(index: Column, n: Column, *seed: Column) -> Column:
 def block_uses(sources: DataFrame, block: int, slots: int, seed: int, most: int = MOST_PASSES) -> DataFrame:
     """(sid, block, uses): how often the mix takes each block of each source."""
     up_to = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = F.sum("target").over(up_to) / F.sum("target").over(Window.partitionBy())
-    rows = sources.filter("target > 0").withColumn("upto", F.least(share, F.lit(1.0)))
+    share = F.sum("need").over(up_to) / F.sum("need").over(Window.partitionBy())
+    rows = sources.filter("target > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+    rows = rows.withColumn("need", F.col("target") * F.col("n_blocks") / F.col("source_size"))  # the last block is shorter
+    rows = rows.withColumn("n_slots", F.ceil(F.round(F.sum("need").over(Window.partitionBy()), 6))).withColumn("upto", F.least(share, F.lit(1.0)))
     rows = rows.withColumn("upto", F.when(F.row_number().over(Window.orderBy(F.desc("sid"))) == 1, F.lit(1.0)).otherwise(F.col("upto")))
     rows = rows.withColumn("from", F.coalesce(F.lag("upto").over(Window.orderBy("sid")), F.lit(0.0)))
-    rows = rows.withColumn("n_blocks", F.ceil(F.col("source_size") / block)).withColumn("n_slots", F.ceil(F.col("total") / block))
     shards = rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_slots") / slots) - 1)))
     here = F.least(F.lit(slots).cast("long"), F.col("n_slots") - F.col("shard") * slots)
     offset = _unit(F.lit(seed), F.col("shard"))

@@ -318,6 +318,14 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_of_sources_with_few_blocks(spark):
+    rows = [(1, prose(1, 130), "a"), (2, prose(2, 10), "d")] + [(10 + k, prose(k, 2000), "bc"[k % 2]) for k in range(20)]
+    df = spark.createDataFrame([(i, t, "en", s, *[None] * 5) for i, t, s in rows], SCHEMA)
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    assert (got[1].target, got[2].target) == (390, 30)
+    assert got[1].taken >= 390 - 128 and got[2].taken >= 20
+
+
 def test_quality(docs, empty):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     for doc_id, text, *_ in corpus():
