@@ -10,8 +10,9 @@ against the arrays of the levels (an equal record is a repeat; the earlier one s
 merge.  Records that share an anchor but differ somewhere are then compared window by window.  All comparisons are
 of bytes, so the result is exact.
 
-An anchor met very often is hot.  Its records are dealt by their own hash instead of the anchor's, and windows of
-its distinct records are rows that Spark groups by their bytes, so no task holds all contexts of one anchor.
+An anchor met very often is hot.  Each batch expands the windows of its distinct hot records, keeps the first place of
+each and deals them by 128 bits of their hash instead of by the anchor, so no task holds all contexts of one anchor
+and a window that all documents share comes once from each batch.  Only these comparisons are of hashes.
 
 Null text is empty.  A null doc_id comes first.  Rows that repeat a doc_id follow each other in the order of their
 bytes.  An empty table gives no rows.
@@ -30,9 +31,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize, shuffle_partitions
 
 #: Bytes of a repeat, of an anchor, and of what may stand before and after an anchor's start.
 LENGTH, KMER = 100, 32
@@ -41,8 +40,8 @@ BEFORE = LENGTH - KMER
 WIDTH = 8 + LENGTH + BEFORE + 2
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACE = np.dtype([("doc", "<i8"), ("nth", "<u4"), ("low", "<i8"), ("most", "u1"), ("least", "u1")])
-#: A packed hot record: record, place, batch.
-_HOT = WIDTH + _PLACE.itemsize + 8
+#: A packed window of a hot anchor: 128 bits of its hash, place.
+_HOT = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("nth", "<u4"), ("low", "<i8")])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -198,16 +197,25 @@ def _window_keys(rows: np.ndarray, rec: np.ndarray, o: np.ndarray) -> np.ndarray
     return _keys(text)
 
 
-def hot_windows(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(window key, record, window start, whether an earlier record here has it) of all windows of the records."""
-    rec, o = _windows(places, np.arange(len(keys)))
-    start = places["low"][rec] + places["most"][rec] - o
-    text = _window_keys(keys.view(np.uint8).reshape(-1, WIDTH), rec, o)
-    _, same = np.unique(text, return_inverse=True)
-    order = np.lexsort((start, places["nth"][rec], places["doc"][rec], same))
-    again = np.zeros(len(rec), bool)
-    again[order[1:]] = same[order[1:]] == same[order[:-1]]
-    return text, rec, start, again
+def hot_windows(rows: np.ndarray, places: np.ndarray, most: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(packed windows, whether an earlier record of the chunk has it) of all windows of the records, chunk by chunk."""
+    for at in range(0, len(rows), most):
+        rec, o = _windows(places, np.arange(at, min(at + most, len(rows))))
+        out = np.empty(len(rec), _HOT)
+        out["doc"], out["nth"], out["low"] = places["doc"][rec], places["nth"][rec], places["low"][rec] + places["most"][rec] - o
+        text, same = np.unique(_window_keys(rows, rec, o), return_inverse=True)
+        hashed = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in text.tolist()), "<u8").reshape(-1, 2)
+        out["a"], out["b"] = hashed[same, 0], hashed[same, 1]
+        yield out, later_windows(out)
+
+
+def later_windows(windows: np.ndarray) -> np.ndarray:
+    """Whether an earlier place in ``windows`` has the same window."""
+    order = np.lexsort([windows[k] for k in ("low", "nth", "doc", "b", "a")])
+    again = np.zeros(len(windows), bool)
+    x = windows[order]
+    again[order[1:]] = (x["a"][1:] == x["a"][:-1]) & (x["b"][1:] == x["b"][:-1])
+    return again
 
 
 def window_repeats(keys: np.ndarray, places: np.ndarray, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
@@ -250,40 +258,11 @@ def _high(places: np.ndarray) -> np.ndarray:
     return places["low"] + places["most"].astype(np.int64) - places["least"] + LENGTH
 
 
-def _hot_spans(records: DataFrame) -> DataFrame:
-    """(batch, spans) of the windows of hot records that an earlier hot record has too; ``records`` are packed."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                raw = np.frombuffer(blob, np.uint8).reshape(-1, _HOT)
-                places = np.ascontiguousarray(raw[:, WIDTH:-8]).view(_PLACE).reshape(-1)
-                batch_of = np.ascontiguousarray(raw[:, -8:]).view(np.int64).reshape(-1)
-                text, rec, start, again = hot_windows(_keys(raw[:, :WIDTH]), places)
-                # a repeat found here needs no partner: it gets a key of its own
-                own = np.column_stack([batch_of[rec], places["nth"][rec].astype(np.int64), start]).astype(np.int64)
-                keys = [own[k].tobytes() if x else bytes(text[k]) for k, x in enumerate(again.tolist())]
-                columns = [pa.array(keys, pa.binary()), pa.array(again), pa.array(places["doc"][rec])]
-                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, own.T.copy())], names=["w", "again", "doc", "batch", "nth", "low"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b, nth, low = (batch.column(k).to_numpy() for k in range(3))
-            out = list(_packed_spans(b, nth, low, low + LENGTH))
-            b, x = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(x, pa.binary())], names=["batch", "spans"])
-
-    rows = records.mapInArrow(explode, "w binary, again boolean, doc long, batch long, nth long, low long")
-    place = F.row_number().over(Window.partitionBy("w").orderBy("doc", "nth", "low"))
-    return rows.withColumn("place", place).filter("again or place > 1").select("batch", "nth", "low").mapInArrow(pack, "batch long, spans binary")
-
-
 def repeated_spans(docs: DataFrame, batch_bytes: int = 2 << 20, shard_bytes: int = 8 << 20, hot: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(documents dealt into batches, (batch, spans) with the covered spans of each batch as packed numbers).
 
     Anchors that occur more than ``hot`` times are hot.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches, n_shards = max(1, -(-total // batch_bytes)), max(1, -(-total // shard_bytes))
@@ -339,12 +318,16 @@ def repeated_spans(docs: DataFrame, batch_bytes: int = 2 << 20, shard_bytes: int
                 spans += [x for _, x in _packed_spans(np.full(rest.sum(), batch), place["nth"][rest], place["low"][rest], _high(place[rest]))]
                 first.sort()
                 rows, place, is_hot, dealt = rows[first], place[first], is_hot[first], got[0][first]
-                dealt[is_hot] = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in rows[is_hot]]
+                for windows, again in hot_windows(rows[is_hot], place[is_hot]):
+                    low = windows["low"][again]
+                    spans += [x for _, x in _packed_spans(np.full(len(low), batch), windows["nth"][again], low, low + LENGTH)]
+                    windows = windows[~again]
+                    for s, k in by_shard(shards(windows["a"])):
+                        parts.setdefault((s, True), []).append(windows[k].tobytes())
                 rows = np.concatenate([rows, place.view(np.uint8).reshape(len(place), -1)], axis=1)
-                for kind in (False, True):
-                    some = np.flatnonzero(is_hot == kind)
-                    for s, k in by_shard(shards(dealt[some])):
-                        parts.setdefault((s, kind), []).append(rows[some[k]].tobytes())
+                some = np.flatnonzero(~is_hot)
+                for s, k in by_shard(shards(dealt[some])):
+                    parts.setdefault((s, False), []).append(rows[some[k]].tobytes())
             out = [(s, kind, zstandard.compress(b"".join(x), 1), None) for (s, kind), x in parts.items()]
             if spans:
                 out.append((batch % n_shards, None, None, b"".join(spans)))
@@ -354,36 +337,37 @@ def repeated_spans(docs: DataFrame, batch_bytes: int = 2 << 20, shard_bytes: int
         return pa.table({"shard": s, "batch": pa.array([batch] * len(out), pa.int64()), "hot": h, "records": r, "spans": x})
 
     def index(table: pa.Table) -> pa.Table:
-        families = {False: SuffixFamily(), True: SuffixFamily()}
+        family, windows, batch_of = SuffixFamily(), [], []
         order = np.argsort(table.column("batch").to_numpy(), kind="stable").tolist()
         blobs, batches, kinds = table.column("records"), table.column("batch"), table.column("hot").to_pylist()
-        out = [(b, x, None) for b, x in zip(batches.to_pylist(), table.column("spans").to_pylist()) if x is not None]
+        out = [(b, x) for b, x in zip(batches.to_pylist(), table.column("spans").to_pylist()) if x is not None]
         for k in order:
-            if kinds[k] is not None:
-                raw = np.frombuffer(zstandard.decompress(blobs[k].as_py()), np.uint8).reshape(-1, WIDTH + _PLACE.itemsize)
-                places = np.ascontiguousarray(raw[:, WIDTH:]).view(_PLACE).reshape(-1)
-                families[kinds[k]].add(raw[:, :WIDTH], places, batches[k].as_py())
-        for kind, family in families.items():
-            whole = [np.concatenate(x) for x in zip(*family.repeats)] if family.repeats else [np.empty(0, _PLACE), np.empty(0, np.int64)]
-            out += [(b, x, None) for b, x in _packed_spans(whole[1], whole[0]["nth"], whole[0]["low"], _high(whole[0]))]
-            keys, places, batch_of = family.close()
-            if not len(keys):
-                continue
-            if kind:
-                rows = np.concatenate([keys.view(np.uint8).reshape(-1, WIDTH), places.view(np.uint8).reshape(len(keys), -1), batch_of.view(np.uint8).reshape(-1, 8)], axis=1)
-                out += [(None, None, rows[k : k + 2048].tobytes()) for k in range(0, len(rows), 2048)]
-            else:
-                rec, start = window_repeats(keys, places)
-                out += [(b, x, None) for b, x in _packed_spans(batch_of[rec], places["nth"][rec], start, start + LENGTH)]
-        b, x, r = zip(*out) if out else ((), (), ())
-        return pa.table({"batch": pa.array(b, pa.int64()), "spans": pa.array(x, pa.binary()), "records": pa.array(r, pa.binary())})
+            raw = zstandard.decompress(blobs[k].as_py()) if kinds[k] is not None else b""
+            if kinds[k]:
+                windows.append(np.frombuffer(raw, _HOT))
+                batch_of.append(np.full(len(windows[-1]), batches[k].as_py()))
+            elif raw:
+                rows = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH + _PLACE.itemsize)
+                places = np.ascontiguousarray(rows[:, WIDTH:]).view(_PLACE).reshape(-1)
+                family.add(rows[:, :WIDTH], places, batches[k].as_py())
+        if windows:
+            hot, of = np.concatenate(windows), np.concatenate(batch_of)
+            again = later_windows(hot)
+            out += _packed_spans(of[again], hot["nth"][again], hot["low"][again], hot["low"][again] + LENGTH)
+        if family.repeats:
+            places, of = (np.concatenate(x) for x in zip(*family.repeats))
+            out += _packed_spans(of, places["nth"], places["low"], _high(places))
+        keys, places, of = family.close()
+        if len(keys):
+            rec, start = window_repeats(keys, places)
+            out += _packed_spans(of[rec], places["nth"][rec], start, start + LENGTH)
+        b, x = zip(*out) if out else ((), ())
+        return pa.table({"batch": pa.array(b, pa.int64()), "spans": pa.array(x, pa.binary())})
 
     met = texts.groupBy("batch").applyInArrow(collect, "shard long, batch long, hashes binary, many binary")
     flags = met.groupBy("shard").applyInArrow(count, "batch long, hashes binary, hot binary")
     records = texts.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(extract, "shard long, batch long, hot boolean, records binary, spans binary")
-    found = materialize(records.groupBy("shard").applyInArrow(index, "batch long, spans binary, records binary"), "spans")
-    often = found.filter("records is not null").select("records").repartition(shuffle_partitions(spark))
-    return texts, found.filter("spans is not null").select("batch", "spans").union(_hot_spans(often))
+    return texts, records.groupBy("shard").applyInArrow(index, "batch long, spans binary")
 
 
 def drop_repeats(docs: DataFrame, keep_text: bool = False, **options) -> DataFrame:
