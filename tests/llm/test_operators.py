@@ -373,6 +373,45 @@ def test_pages(spark):
     assert pages.shared_lines(list("abcab"), list("xabay")) == {0, 1, 3}
 
 
+def brute_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 14))] for _ in range(2))
+        for most in (1 << 29, 6):
+            at = sorted(pages.shared_lines(a, b, most))
+            rest = iter(b)
+            assert len(at) == brute_lcs(a, b) and all(a[k] in rest for k in at)
+    assert pages.shared_lines(["x", "a"], ["a", "x", "a"]) == {0, 1}
+
+
+def test_class_names_do_not_empty_a_page(spark):
+    html = "<body><div class='{}'><article><div class='entry-header'><h1>Head</h1></div><p>Text.</p></article></div><div class='main-nav'>Menu</div><p>Beside {}</p></body>"
+    names = ["content no-sidebar", "layout-with-sidebar", "sidebar", "page"]
+    rows = [(k, f"http://{host}.example/{k}", html.format(c, "xy"[k % 2]), "u", c) for k, c in enumerate(names) for host in "ab"] + [(9, "http://c.example/", html.format("x", "z"), None, None), (8, "http://d.example/", "<div class='ad'>All</div>", None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, row string")
+    got = {(r.page_id, r.url[7]): r.text for r in pages.main_text(df).collect()}
+    assert got[0, "a"] == "Head\nText.\nBeside x" and got[1, "b"] == "Head\nText.\nBeside y"  # neighbours lack the last line
+    assert got[2, "a"] == "Beside x" and got[9, "c"] == "Head\nText." and got[8, "d"] == "All"
+
+
+def test_pages_of_any_size_and_repeated_rows(spark):
+    many = "".join(f"<p>line {k % 50}</p>" for k in range(20_000))
+    rows = [(1, "http://a.example/1", many), (1, "http://a.example/1", many), (2, "http://a.example/2", many.replace("line 7<", "other<")), (None, None, "<p>x"), (None, None, "<p>x"), (3, "http://a.example/3", "<" * 5000), (4, "", "&amp;&#20013;&nope;")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [tuple(r) for r in pages.main_text(df).collect()]
+    by = {i: t for i, _, t, _ in got}
+    assert len(got) == 7 and sum(i == 1 for i, *_ in got) == 2 and len({t for i, _, t, _ in got if i == 1}) == 1
+    assert set(by[1].split("\n")) == {"line 7"} and by[1].count("\n") == 399 and by[4] == "&中&nope;"
+
+
 def test_pages_next_to_copies_and_cuts(spark):
     bare = lambda own: f"<html><body><div>Site name</div><p>{own}</p><div>All rights</div></body></html>"
     names = ["alpha", "beta", "beta", "beta", "gamma", "delta", "delta", "epsilon", "zeta", "eta", "eta", "theta"]
