@@ -4,8 +4,9 @@ Every three lines in a row are hashed (128 bits).  A window that occurs more tha
 everywhere but at its first place (smaller doc_id, then smaller line), and the lines of removed windows merge.
 
 Lines are what newlines separate; blank lines count.  A text of fewer than three lines has no window and stays; a
-null text is one empty line.  Rows that repeat a doc_id are taken as the same document.  A null doc_id comes first.
-An empty table gives no rows.
+null text is one empty line.  A null doc_id comes first.  Rows that repeat a doc_id are documents of their own, in the
+order of a hash of their texts; of rows that repeat in full, one counts as the first.  Columns besides doc_id and text
+are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,24 +17,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 
-def repeated_windows(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, starts): first lines of the windows of each document that occurred earlier."""
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines")).filter(F.size("lines") >= size)
+
+def repeated_windows(rows: DataFrame, size: int = 3) -> DataFrame:
+    """(row, starts): first lines of the windows of each document that occurred earlier."""
+    lines = F.split("text", "\n")
+    rows = rows.select(F.struct("doc_id", F.xxhash64("text").alias("hash"), "row").alias("doc"), lines.alias("lines")).filter(F.size("lines") >= size)
     window = lambda i: F.slice("lines", i, size)
     hashed = F.transform(F.sequence(F.lit(1), F.size("lines") - size + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(window(i)).alias("h1"), F.xxhash64(F.lit(1), window(i)).alias("h2")))
-    windows = rows.select("doc_id", F.inline(hashed))
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = windows.join(first, ["h1", "h2"]).filter(~F.struct("doc_id", "i").eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id").agg(F.collect_set("i").alias("starts"))
+    windows = rows.select("doc", F.inline(hashed))
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = windows.join(first, ["h1", "h2"]).filter(~F.struct("doc", "i").eqNullSafe(F.col("first")))  # a common window is split as a skewed join
+    return again.groupBy("doc.row").agg(F.collect_set("i").alias("starts"))
 
 
 def drop_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of every row, the text without repeated windows."""
-    starts = repeated_windows(docs, size).withColumnRenamed("doc_id", "id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(starts, rows.doc_id.eqNullSafe(F.col("id")), "left").select("doc_id", "text", "starts")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = materialize(given.withColumn("row", F.monotonically_increasing_id()), "lines")
+    joined = rows.join(repeated_windows(rows, size), "row", "left").select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
