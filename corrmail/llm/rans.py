@@ -1,13 +1,14 @@
 """Token ids in files coded by a static range asymmetric numeral system (operator 4).
 
 One frequency table serves all files.  A file row holds a frame of whole documents in ascending doc_id order, coded
-apart from all others: ``LANES`` interleaved states take the tokens in turn, and every ``STEPS`` turns a checkpoint
+apart from all others: up to ``LANES`` interleaved states take the tokens in turn (fewer in a short frame; the header
+has their number), and every ``STEPS`` turns a checkpoint
 keeps the states and the place in the words, so parts of a frame decode independently.  Two checksums guard a frame,
 one of its bytes and one of its ids.  Frames are written as Parquet rows, so any store that Spark reaches holds them.
 
 Frame (little-endian): magic, 8 header numbers, document ids (and which are null), token counts, checkpoints, words, crc32.
 Null text is empty and has the end id alone.  Repeated rows are written as often as they occur.  A null doc_id sorts
-first.  An empty table gives an empty file.
+first.  An empty table gives an empty file.  Ids take 16 bits before they are coded if the vocabulary allows it, else 32.
 """
 
 from __future__ import annotations
@@ -69,19 +70,28 @@ def frequency_table(counts: dict[int, int], vocabulary: int) -> Table:
     return Table(freq)
 
 
-def encode_ids(ids: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lanes_for(n_ids: int) -> int:
+    """A power of two, so that the states of a short frame do not outweigh its words."""
+    return min(LANES, max(4, 1 << (n_ids // 512).bit_length()))
+
+
+def id_kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def encode_ids(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(states at each checkpoint, words before it, words); lanes code backwards so that decoding runs forwards."""
-    steps = -(-len(ids) // LANES)
-    f = np.ones((steps, LANES), np.uint64)
-    c = np.zeros((steps, LANES), np.uint64)
+    steps = -(-len(ids) // lanes)
+    f = np.ones((steps, lanes), np.uint64)
+    c = np.zeros((steps, lanes), np.uint64)
     f.reshape(-1)[: len(ids)] = freq[ids]
     c.reshape(-1)[: len(ids)] = start[ids]
-    x = np.full(LANES, LOW, np.uint64)
+    x = np.full(lanes, LOW, np.uint64)
     bits, half, room = np.uint64(BITS), np.uint64(32), np.uint64(43)
     words: list[np.ndarray] = []
-    states = np.empty((-(-steps // STEPS), LANES), np.uint64)
+    states = np.empty((-(-steps // STEPS), lanes), np.uint64)
     for t in range(steps - 1, -1, -1):
-        n = min(LANES, len(ids) - t * LANES)
+        n = min(lanes, len(ids) - t * lanes)
         y, fs = x[:n], f[t, :n]
         full = y >= (fs << room)
         words.append(y[full].astype(np.uint32))
@@ -98,12 +108,13 @@ def encode_ids(ids: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tuple[np
 def decode_part(part: int, n_ids: int, states: np.ndarray, before: np.ndarray, words: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Ids from checkpoint ``part`` up to the next one; needs nothing of the other parts."""
     freq, start, symbol = table
+    lanes = states.shape[1]
     x, at = states[part].copy(), int(before[part])
-    first, last = part * STEPS * LANES, min(n_ids, (part + 1) * STEPS * LANES)
+    first, last = part * STEPS * lanes, min(n_ids, (part + 1) * STEPS * lanes)
     out = np.empty(last - first, np.uint32)
     bits, half, mask, low = np.uint64(BITS), np.uint64(32), np.uint64((1 << BITS) - 1), np.uint64(LOW)
-    for lo in range(0, len(out), LANES):
-        n = min(LANES, len(out) - lo)
+    for lo in range(0, len(out), lanes):
+        n = min(lanes, len(out) - lo)
         y = x[:n]
         slot = y & mask
         ids = symbol[slot]
@@ -117,40 +128,50 @@ def decode_part(part: int, n_ids: int, states: np.ndarray, before: np.ndarray, w
 
 
 def dump_frame(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, freq: np.ndarray, start: np.ndarray) -> bytes:
-    states, before, words = encode_ids(ids, freq, start)
-    head = _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(states), len(words), LANES, STEPS, BITS, zlib.crc32(ids.astype("<u4").tobytes()))
+    states, before, words = encode_ids(ids, freq, start, lanes_for(len(ids)))
+    head = _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(states), len(words), states.shape[1], STEPS, BITS, zlib.crc32(ids.astype("<u4").tobytes()))
     known = np.array([x is not None for x in doc_ids], np.uint8)
     parts = (np.array([x or 0 for x in doc_ids], "<i8"), known, np.array(counts, "<u4"), states.astype("<u8"), before.astype("<u4"), words.astype("<u4"))
     body = head + b"".join(x.tobytes() for x in parts)
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def load_frame(raw: bytes, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc_ids, tokens of each, all ids); raises ValueError if a checksum differs."""
+def open_frame(raw: bytes) -> tuple[list[int | None], np.ndarray, int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, tokens of each, all tokens, crc32 of the ids, states, words before, words) of an undamaged frame."""
     magic, n_docs, n_ids, n_parts, n_words, lanes, steps, bits, crc = _HEAD.unpack_from(raw)
-    if (magic, lanes, steps, bits) != (MAGIC, LANES, STEPS, BITS) or struct.unpack("<I", raw[-4:])[0] != zlib.crc32(raw[:-4]):
+    if (magic, steps, bits) != (MAGIC, STEPS, BITS) or struct.unpack("<I", raw[-4:])[0] != zlib.crc32(raw[:-4]):
         raise ValueError("damaged frame")
     at, arrays = _HEAD.size, []
     for kind, n in (("<i8", n_docs), ("u1", n_docs), ("<u4", n_docs), ("<u8", n_parts * lanes), ("<u4", n_parts), ("<u4", n_words)):
         arrays.append(np.frombuffer(raw, kind, n, at))
         at += arrays[-1].nbytes
     doc_ids, known, counts, states, before, words = arrays
-    states = states.reshape(n_parts, lanes)
-    parts = [decode_part(k, n_ids, states, before, words, table) for k in range(n_parts)]
+    doc_ids = [x if k else None for x, k in zip(doc_ids.tolist(), known.tolist())]
+    return doc_ids, counts.astype(np.int64), n_ids, crc, states.reshape(n_parts, lanes), before, words
+
+
+def load_frame(raw: bytes, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(doc_ids, tokens of each, all ids); raises ValueError if a checksum differs."""
+    doc_ids, counts, n_ids, crc, states, before, words = open_frame(raw)
+    parts = [decode_part(k, n_ids, states, before, words, table) for k in range(len(states))]
     ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("ids do not match their checksum")
-    return [x if k else None for x, k in zip(doc_ids.tolist(), known.tolist())], counts.astype(np.int64), ids
+    return doc_ids, counts, ids
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids as 16 or 32-bit numbers) of every row, the end id included."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
+    """(doc_id, n_tokens, ids as numbers of ``id_kind``) of every row, the end id included."""
+    kind = id_kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
-        end = np.array([end_id], enc.kind).tobytes()
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             for at, ids, counts in enc.encode(batch.column(1)):
+                if len(ids) and ids.max() >= vocabulary:
+                    raise ValueError("an id is beyond the vocabulary")
+                ids = ids.astype(kind, copy=False)
                 raw, ends = ids.tobytes(), np.cumsum(counts) * ids.itemsize
                 rows = [raw[a:b] + end for a, b in zip((ends - counts * ids.itemsize).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.array(counts + 1), pa.array(rows, pa.binary())], names=["doc_id", "n_tokens", "ids"])
@@ -158,14 +179,13 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> dict[int, int]:
+def count_ids(tokens: DataFrame, vocabulary: int) -> dict[int, int]:
     """How often each id occurs: at most one row an id comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
-            total += got
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), id_kind(vocabulary)), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -176,6 +196,7 @@ def count_ids(tokens: DataFrame) -> dict[int, int]:
 def write_frames(tokens: DataFrame, table: Table, partitions: int | None = None) -> DataFrame:
     """Write frames in ascending doc_id order; the frame table read back: (part, frame, n_tokens, data)."""
     freq, start = table.freq.astype(np.uint64), table.start.astype(np.uint64)
+    kind = np.dtype(id_kind(len(table.freq)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, frame = TaskContext.get().partitionId(), 0
@@ -184,15 +205,15 @@ def write_frames(tokens: DataFrame, table: Table, partitions: int | None = None)
         size = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(raws), "<u2")
-            data = dump_frame(docs, [len(x) // 2 for x in raws], ids, freq, start)
+            ids = np.frombuffer(b"".join(raws), kind)
+            data = dump_frame(docs, [len(x) // kind.itemsize for x in raws], ids, freq, start)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "frame": pa.array([frame], pa.int32()), "n_tokens": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs.append(doc_id)
                 raws.append(raw)
-                size += len(raw) // 2
+                size += len(raw) // kind.itemsize
                 if size >= FRAME_TOKENS:
                     yield flush()
                     docs, raws, size, frame = [], [], 0, frame + 1
@@ -227,8 +248,26 @@ def read_frames(frames: DataFrame, table: Table, keep_ids: bool = False) -> Data
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
+def read_parts(frames: DataFrame, table: Table) -> DataFrame:
+    """(part, frame, checkpoint, first, ids as 32-bit numbers): every stretch between two checkpoints, decoded apart."""
+    decode = table.freq.astype(np.uint64), table.start.astype(np.uint64), table.symbol
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, out = [], []
+            for raw, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                _, _, n_ids, _, states, before, words = open_frame(raw)
+                first.append(k * STEPS * states.shape[1])
+                out.append(decode_part(k, n_ids, states, before, words, decode).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(first, pa.int64()), pa.array(out, pa.binary())], names=["part", "frame", "checkpoint", "first", "ids"])
+
+    n_parts = F.expr("cast(conv(hex(reverse(substring(data, 13, 4))), 16, 10) as int)")  # third number of the header
+    each = frames.select("part", "frame", "data", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("checkpoint"))
+    return each.repartition("part", "frame", "checkpoint").mapInArrow(run, "part int, frame int, checkpoint int, first long, ids binary")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 2) -> DataFrame:
     """Encode every text, write the frames, read them back."""
-    tokens = materialize(tokenized(docs, tokenizer, end_id), "tokens")
-    table = frequency_table(count_ids(tokens), vocabulary)
+    tokens = materialize(tokenized(docs, tokenizer, end_id, vocabulary), "tokens")
+    table = frequency_table(count_ids(tokens, vocabulary), vocabulary)
     return read_frames(write_frames(tokens, table), table)
