@@ -262,11 +262,26 @@ def test_rans_frames():
     decode = (freq, start, table.symbol)
     docs, counts, back = rans.load_frame(raw, decode)
     assert docs == [1, None] and counts.tolist() == [len(ids) - 5, 5] and (back == ids).all()
-    states, before, words = rans.encode_ids(ids, freq, start)
+    states, before, words = rans.encode_ids(ids, freq, start, rans.LANES)
     some = rans.LANES * rans.STEPS
     assert (rans.decode_part(1, len(ids), states, before, words, decode) == ids[some : 2 * some]).all()
     with pytest.raises(ValueError):
         rans.load_frame(raw[:-9] + b"x" + raw[-8:], decode)
+    for n in (0, 1, 5, 3000):
+        raw = rans.dump_frame([7] if n else [], [n] if n else [], ids[:n], freq, start)
+        assert (rans.load_frame(raw, decode)[2] == ids[:n]).all() and len(raw) < 150 + 3 * n
+
+
+def test_parts_of_frames_with_ids_beyond_16_bits(spark):
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 90_000, n).astype("<u4") for n in (0, 5, 400_000, 70_000, 3)]
+    tokens = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(docs)], "doc_id long, ids binary")
+    table = rans.frequency_table(rans.count_ids(tokens, 90_000), 90_000)
+    frames = rans.write_frames(tokens, table, 2)
+    back = {r.doc_id: np.frombuffer(r.ids, "<u4") for r in rans.read_frames(frames, table, keep_ids=True).collect()}
+    assert all((back[k] == x).all() for k, x in enumerate(docs))
+    parts = sorted(rans.read_parts(frames, table).collect())
+    assert len(parts) > 4 and (np.frombuffer(b"".join(r.ids for r in parts), "<u4") == np.concatenate(docs)).all()
 
 
 def brute_targets(sizes, weights=(5, 2, 1)):
@@ -427,22 +442,39 @@ def test_pages_next_to_copies_and_cuts(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_line_dedup(docs, empty):
-    seen, expected = {}, {}
-    for doc_id, text, *_ in sorted(corpus()[:-2], key=lambda r: r[0]):
-        lines = (text or "").split("\n")
-        gone = set()
-        for k in range(len(lines) - 2):
-            key = tuple(lines[k : k + 3])
-            if seen.setdefault(key, (doc_id, k)) != (doc_id, k):
-                gone |= {k, k + 1, k + 2}
-        expected[doc_id] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.drop_repeated_lines(docs).collect()}
-    del got[None]
-    assert got == expected and got[14][2] == 3
+def brute_lines(rows):
+    """By row: (text, lines, removed) in the order (doc_id, hash of the text, place) that the caller has put them in."""
+    seen, out = set(), []
+    for k, (_, text) in enumerate(rows):
+        lines, gone = (text or "").split("\n"), set()
+        for i in range(len(lines) - 2):
+            key = tuple(lines[i : i + 3])
+            if key in seen:
+                gone |= {i, i + 1, i + 2}
+            seen.add(key)
+        out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)))
+    return out
+
+
+def test_line_dedup(spark, docs, empty):
+    hashes = {r[0]: r[1] for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).distinct().select("t", F.xxhash64("t")).collect()}
+    ordered = sorted(((r[0], r[1]) for r in corpus()), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""]))
+    expected = sorted(((i, *x) for (i, _), x in zip(ordered, brute_lines(ordered))), key=str)
+    got = sorted((tuple(r) for r in linededup.drop_repeated_lines(docs).collect()), key=str)
+    assert got == expected and (14, "", 3, 3) in got
     assert linededup.drop_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_of_a_doc_id_with_several_texts(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nz"), (2, "keep1\nkeep2\nkeep3\nkeep4"), (2, "s"), (None, "q\nr\ns\nt"), (3, "q\nr\ns"), (4, "u\nu\nu\nu"), (4, "u\nu\nu\nu"), (5, "x\n" * 6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {r[0]: r[1] for r in df.select("text", F.xxhash64("text")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    expected = sorted(((i, *x) for (i, _), x in zip(ordered, brute_lines(ordered))), key=str)
+    assert sorted((tuple(r) for r in linededup.drop_repeated_lines(df).collect()), key=str) == expected
+    assert {(2, rows[2][1], 4, 0), (2, "s", 1, 0), (2, "z", 4, 3), (4, "u", 4, 3), (4, "", 4, 4), (5, "x\n", 6001, 5999)} <= set(expected)
+
+
 def test_exact_dedup(docs, empty):
     low = lambda t: (t or "").encode().lower()
     groups = {}
