@@ -1,15 +1,21 @@
 """Mixing sources to target weights (operator 5), with DataFrame functions only.
 
-The words of each source form one stream, cut into blocks of a fixed number of words.  Each output shard draws how
-many of its slots go to each source, a source's slots are numbered over all shards, a pseudorandom permutation of
-the source's block indexes (another one for each pass over the source) gives each slot its block, and blocks join
-the documents by index.  A document's words are taken as often as its blocks are.
+The words of each source form one stream, cut into blocks of a fixed number of words.  A target says how many slots a
+source gets: whole passes over its blocks, then some more blocks, of which the last one is cut where the target is
+met.  The slots of all sources are dealt to output shards in two steps:
 
-The counts of a shard are a multinomial draw by systematic sampling: one random offset for the shard, so each count
-has the mean of independent draws and differs from it by less than one slot.
+1. Each slot draws a source by a hash, with the sources' numbers of slots as odds, so the counts of a shard are a
+   multinomial draw.  Slots are numbered within their source over all shards.
+2. A source with more slots than its target hands the surplus to those that drew too few, by number.
+
+Slot k of a source takes a block by a pseudorandom permutation of its full blocks (another one for each pass; a
+shorter last block closes the pass), and blocks join the documents by index.
+
+The permutation is the swap-or-not shuffle of Hoang, Morris and Rogaway: in each round a number is swapped with its
+mirror at a round's key or not, as a hash of the larger one says, so any range is mapped to itself.
 
 Null text has no words.  Null is a source of its own, after all others.  Repeated rows count as often as they
-occur.  An empty table gives no rows.
+occur.  Rows keep their columns, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ from .common import WORD, checkpointed, chunk_count, chunk_of, materialize, pref
 #: Weights of the sources in their order, repeating; how often a source may be repeated.
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-#: Prime strides of the index permutations.
-STRIDES = (524309, 611953, 700001, 786433, 1048583)
+#: Rounds of the index permutation, and up to how many sources their table is broadcast (some 100 bytes each).
+ROUNDS = 32
+MOST_BROADCAST = 100_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
@@ -49,90 +56,141 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return rows.select("source", "sid", "source_size", target.alias("target"), "total")
 
 
-def _unit(*cols: Column) -> Column:
-    """A fixed pseudorandom number in [0, 1)."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
-
-
 def _permuted(index: Column, n: Column, *seed: Column) -> Column:
-    """A permutation of 0 .. n-1: a prime stride that does not divide n, and a shift."""
-    turn = F.pmod(F.xxhash64(F.lit("stride"), *seed), F.lit(len(STRIDES))).cast("int")
-    primes = F.array(*[F.lit(p).cast("long") for p in STRIDES])
-    turned = F.concat(F.slice(primes, turn + 1, len(STRIDES)), F.slice(primes, F.lit(1), turn))
-    stride = F.element_at(F.filter(turned, lambda p: n % p != 0), 1)
-    return F.pmod(index * stride + F.pmod(F.xxhash64(F.lit("shift"), *seed), n), n)
-
-
-def block_uses(sources: DataFrame, block: int, slots: int, seed: int, most: int = MOST_PASSES) -> DataFrame:
-    """(sid, block, uses): how often the mix takes each block of each source."""
-    up_to = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = F.sum("need").over(up_to) / F.sum("need").over(Window.partitionBy())
-    rows = sources.filter("target > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block))
-    rows = rows.withColumn("need", F.col("target") * F.col("n_blocks") / F.col("source_size"))  # the last block is shorter
-    rows = rows.withColumn("n_slots", F.ceil(F.round(F.sum("need").over(Window.partitionBy()), 6))).withColumn("upto", F.least(share, F.lit(1.0)))
-    rows = rows.withColumn("upto", F.when(F.row_number().over(Window.orderBy(F.desc("sid"))) == 1, F.lit(1.0)).otherwise(F.col("upto")))
-    rows = rows.withColumn("from", F.coalesce(F.lag("upto").over(Window.orderBy("sid")), F.lit(0.0)))
-    shards = rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_slots") / slots) - 1)))
-    here = F.least(F.lit(slots).cast("long"), F.col("n_slots") - F.col("shard") * slots)
-    offset = _unit(F.lit(seed), F.col("shard"))
-    drawn = F.ceil(here * F.col("upto") - offset) - F.ceil(here * F.col("from") - offset)
-    shards = shards.withColumn("drawn", F.when(F.col("upto") == 1.0, here - F.greatest(F.ceil(here * F.col("from") - offset), F.lit(0))).otherwise(drawn))
-    shards = shards.filter("drawn > 0").withColumn("run", (F.col("shard") / 1024).cast("long"))
-    numbered = prefix_sum(shards, ["sid"], "run", [F.col("shard")], F.col("drawn"), "first")
-    numbered = numbered.repartition(shuffle_partitions(sources.sparkSession), "sid", "first")  # few rows make many slots
-    slot = numbered.select("sid", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)).alias("slot"))
-    slot = slot.filter(F.col("slot") < most * F.col("n_blocks"))
-    turn = F.floor(F.col("slot") / F.col("n_blocks"))
-    at = _permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("sid"), turn)
-    return slot.select("sid", at.alias("block")).groupBy("sid", "block").agg(F.count("*").alias("uses"))
-
-
-def _spans(docs: DataFrame, block: int, slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with size, targets and stream position; and for each row and block of it: words [lo, hi) and uses."""
-    spark = docs.sparkSession
-    sized = docs.select("_row", F.col("doc_id").cast("long"), F.col("source").cast("string"), "size")
+    """A pseudorandom permutation of 0 .. n-1, n at least 1."""
+
+    def step(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit("key"), r, *seed), n) - x, n)
+        swap = F.xxhash64(F.lit("swap"), r, F.greatest(x, other), *seed)
+        return F.when(swap > 0, other).otherwise(x)
+
+    return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), index, step)
+
+
+def source_slots(sources: DataFrame, block: int, most: int = MOST_PASSES) -> DataFrame:
+    """``sources`` with their blocks (``full`` ones and the words of the ``tail``), and ``n_slots`` from ``first`` on, the last one of ``last`` words."""
+    words = F.least(F.round("target").cast("long"), most * F.col("source_size"))
+    rows = sources.filter("source_size > 0").withColumn("words", words).withColumn("full", F.expr(f"source_size div {block}"))
+    rows = rows.withColumn("tail", F.col("source_size") - F.col("full") * block).withColumn("n_blocks", F.col("full") + (F.col("tail") > 0).cast("long"))
+    rows = rows.withColumn("rest", F.col("words") % F.col("source_size")).withColumn("more", F.expr(f"(rest + {block - 1}) div {block}"))
+    rows = rows.withColumn("n_slots", F.expr("words div source_size") * F.col("n_blocks") + F.col("more")).filter("n_slots > 0")
+    rows = rows.withColumn("last", F.when(F.col("more") > 0, F.col("rest") - (F.col("more") - 1) * block))
+    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("sid", "full", "tail", "n_blocks", "n_slots", "last", F.coalesce(F.sum("n_slots").over(before), F.lit(0)).cast("long").alias("first"))
+
+
+def slot_plan(sources: DataFrame, block: int, slots: int, seed: int, most: int = MOST_PASSES) -> DataFrame:
+    """(shard, slot, sid, pass, block, words): which words of which block each slot of each output shard takes."""
+    spark = sources.sparkSession
+    plan = checkpointed(source_slots(sources, block, most))
+    total, n_sources = plan.agg(F.coalesce(F.sum("n_slots"), F.lit(0)), F.count("*")).first()
+    small = F.broadcast if n_sources <= MOST_BROADCAST else lambda df: df
+    parts = shuffle_partitions(spark)
+    width = max(1, total // max(4 * n_sources, 64 * parts))  # a draw meets its source in a cell of this width
+    cells = plan.withColumn("cell", F.explode(F.sequence(F.expr(f"first div {width}"), F.expr(f"(first + n_slots - 1) div {width}"))))
+    drawn = spark.range(0, total, 1, max(1, min(total, 2 * parts))).select(F.expr(f"id div {slots}").alias("shard"), (F.col("id") % slots).alias("slot"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("draw"))
+    drawn = drawn.withColumn("cell", F.expr(f"draw div {width}")).join(small(cells), "cell")
+    drawn = drawn.filter((F.col("draw") >= F.col("first")) & (F.col("draw") < F.col("first") + F.col("n_slots")))
+    counts = checkpointed(drawn.groupBy("sid", "shard").agg(F.count("*").alias("drawn")).withColumn("run", F.expr("shard div 1024")))
+    firsts = prefix_sum(counts, ["sid"], "run", [F.col("shard")], F.col("drawn"), "nth").select("sid", "shard", "nth")
+    nth = F.col("nth") + F.row_number().over(Window.partitionBy("sid", "shard").orderBy("slot")) - 1
+    numbered = drawn.join(firsts, ["sid", "shard"]).select("shard", "slot", "sid", "full", "tail", "n_blocks", "n_slots", "last", nth.alias("k"))
+    met = plan.join(counts.groupBy("sid").agg(F.sum("drawn").alias("met")), "sid", "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    over, under = F.greatest(F.col("met") - F.col("n_slots"), F.lit(0)), F.greatest(F.col("n_slots") - F.col("met"), F.lit(0))
+    met = checkpointed(met.withColumn("over", F.coalesce(F.sum(over).over(before), F.lit(0))).withColumn("under", F.coalesce(F.sum(under).over(before), F.lit(0))))
+    gaps = met.filter("met < n_slots").withColumn("k", F.explode(F.sequence("met", F.col("n_slots") - 1))).withColumn("j", F.col("under") + F.col("k") - F.col("met"))
+    surplus = numbered.filter("k >= n_slots").join(small(met.select("sid", "over")), "sid").select("shard", "slot", (F.col("over") + F.col("k") - F.col("n_slots")).alias("j"))
+    moved = surplus.join(gaps, "j").select("shard", "slot", "sid", "full", "tail", "n_blocks", "n_slots", "last", "k")
+    dealt = numbered.filter("k < n_slots").unionByName(moved).withColumn("pass", F.expr("k div n_blocks")).withColumn("i", F.col("k") % F.col("n_blocks"))
+    at = _permuted(F.col("i"), F.greatest("full", F.lit(1).cast("long")), F.lit(seed), F.col("sid"), F.col("pass"))
+    size = F.when((F.col("k") + 1 == F.col("n_slots")) & F.col("last").isNotNull(), F.col("last")).when(F.col("i") < F.col("full"), block).otherwise(F.col("tail"))
+    return dealt.select("shard", "slot", "sid", "pass", F.when(F.col("i") < F.col("full"), at).otherwise(F.col("full")).alias("block"), size.cast("long").alias("words"))
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with their source and place in its stream, the sources)."""
+    sized = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size")
     sources = checkpointed(source_targets(sized))
-    chunks = chunk_count(spark, sized.count())
+    chunks = chunk_count(docs.sparkSession, sized.count())
     rows = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop("source")
     rows = rows.withColumn("chunk", chunk_of(chunks, F.col("doc_id")))
     rows = prefix_sum(rows, ["sid"], "chunk", [F.col("doc_id"), F.col("size"), F.col("_row")], F.col("size"), "start").drop("chunk")
-    uses = block_uses(sources, block, slots, seed)
-    reach = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
+    return rows, sources
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """A row for each block that a document has words in: words [lo, hi) of the document, the first one at ``at`` in the block."""
+    reach = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
     cut = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, reach)))
-    cut = cut.join(uses.hint("merge"), ["sid", "block"], "left")
-    lo = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
-    hi = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
-    return rows, cut.select("_row", "doc_id", "size", "source_size", "target", lo.alias("lo"), hi.alias("hi"), F.coalesce("uses", F.lit(0)).alias("uses"))
+    cut = cut.withColumn("lo", F.greatest(F.col("block") * block - F.col("start"), F.lit(0))).withColumn("hi", F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")))
+    return cut.withColumn("at", F.col("start") + F.col("lo") - F.col("block") * block)
+
+
+def _spans(docs: DataFrame, block: int, slots: int, seed: int) -> DataFrame:
+    """For each row and block of it: its words [lo, hi), how many slots take how many words of the block, and the words taken in all.
+
+    A source's last slot may take a part of its block; all others take theirs whole.
+    """
+    rows, sources = _placed(docs)
+    plan = slot_plan(sources, block, slots, seed)
+    uses = plan.groupBy("sid", "block", "words").agg(F.count("*").alias("n")).groupBy("sid", "block").agg(F.collect_list(F.struct("words", "n")).alias("takes"))
+    cut = _in_blocks(rows, block).join(uses.hint("merge"), ["sid", "block"], "left")
+    many = F.aggregate(F.transform("takes", lambda t: t.n * F.greatest(F.least(t.words - F.col("at"), F.col("hi") - F.col("lo")), F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return cut.withColumn("taken", F.coalesce(many, F.lit(0))).select("_row", "doc_id", "size", "source_size", "target", "lo", "hi", "at", "takes", "taken")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")).withColumn("_row", F.monotonically_increasing_id())
+    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("text").cast("string").alias("text"), "source", size.alias("size"), F.monotonically_increasing_id().alias("_row"))
 
 
 def mix(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 7) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
     sized = checkpointed(_sized(docs).select("_row", "doc_id", "source", "size"))
-    _, cut = _spans(sized, block, slots, seed)
-    words = F.coalesce(F.sum((F.col("hi") - F.col("lo")) * F.col("uses")), F.lit(0)).cast("long")
-    taken = cut.groupBy("_row", "doc_id", "size", "source_size", "target").agg(words.alias("taken"))
+    cut = _spans(sized, block, slots, seed)
+    taken = cut.groupBy("_row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").cast("long").alias("taken"))
     return taken.drop("_row")
 
 
+def _cut_words(words: Column, lo: Column, hi: Column) -> Column:
+    return F.slice(words, (lo + 1).cast("int"), (hi - lo).cast("int"))
+
+
+#: A word with the white space before it.
+_SPACED = r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
+
+def mixed_blocks(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 7) -> DataFrame:
+    """The output shards: (shard, slot, sid, pass, block, words, text) with the block's words, as they stand in the documents."""
+    rows = materialize(_sized(docs), "mix")
+    placed, sources = _placed(rows)
+    spans = _in_blocks(placed, block).filter("size > 0").join(rows.select("_row", "text"), "_row")
+    words = _cut_words(F.regexp_extract_all("text", F.lit(_SPACED), F.lit(0)), F.col("lo"), F.col("hi"))
+    blocks = spans.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("at", words.alias("words")))).alias("parts"))  # `block` words at most
+    plan = slot_plan(sources, block, slots, seed).join(blocks, ["sid", "block"])
+    joined = F.flatten(F.transform("parts", lambda p: F.transform(p.words, lambda w, i: F.when((i == 0) & (p.at > 0), F.concat(F.lit(" "), F.ltrim(w))).otherwise(w))))
+    text = F.array_join(F.slice(joined, F.lit(1), F.col("words").cast("int")), "")
+    return plan.select("shard", "slot", "sid", "pass", "block", "words", text.alias("text"))
+
+
 def mixed_documents(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 7) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a row for each pass over a document, with the words that pass takes.
 
     A pass that takes all words keeps the text as it is; ``n_chars`` follows the text.
     """
     rows = materialize(_sized(docs), "mix")
-    _, cut = _spans(rows, block, slots, seed)
-    parts = cut.filter("uses > 0").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "uses"))).alias("parts"), F.max("uses").alias("passes"))
-    found = rows.join(parts, "_row").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
-    found = found.withColumn("parts", F.filter("parts", lambda p: p.uses >= F.col("pass")))
+    cut = _spans(rows.drop("row", "text"), block, slots, seed).filter("taken > 0")
+    # a block's uses, those that take most of it first, are passes one after the other
+    ordered = F.reverse(F.array_sort("takes"))
+    each = F.flatten(F.transform(ordered, lambda t: F.array_repeat(t.words, t.n.cast("int"))))
+    cut = cut.select("_row", "lo", "hi", "at", F.posexplode(each).alias("pass", "words")).withColumn("hi", F.least("hi", F.col("lo") + F.col("words") - F.col("at"))).filter("hi > lo")
+    parts = cut.groupBy("_row", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
+    found = rows.join(parts, "_row")
     whole = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p.hi - p.lo) == F.col("size")
-    found = found.withColumn("words", F.when(~whole, F.regexp_extract_all("text", F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("words", (p.lo + 1).cast("int"), (p.hi - p.lo).cast("int")))), "")
+    found = found.withColumn("words", F.when(~whole, F.regexp_extract_all("text", F.lit(_SPACED), F.lit(0))))
+    some = F.array_join(F.flatten(F.transform("parts", lambda p: _cut_words(F.col("words"), p.lo, p.hi))), "")
     text = F.when(whole, F.col("text")).otherwise(F.trim(some))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    kinds = dict(docs.dtypes)
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(kinds["n_chars"])} if "n_chars" in kinds else {})
+    return found.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
