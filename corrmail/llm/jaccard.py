@@ -1,18 +1,22 @@
 """N-gram Jaccard join by chosen paths (operator 3).
 
-Each text is the set of its five-word shingles, and each set has a minhash signature.  A run starts with all sets in
-one bucket and splits it on the value of one sampled signature place: two sets share it with the probability of
-their similarity.  Buckets that stay large are split again on another place, small ones are compared exhaustively,
-and runs repeat until a pair at the threshold is missed with less than the allowed probability.  A bucket that
-hardly shrinks holds sets that are alike; it is compared in pairs of blocks.
-
-Pairs never leave a task.  A bucket knows the earlier buckets of its sets, counts a link only if no earlier bucket
-holds both sets, and returns for each set its number of links and the smallest linked set.  Classes are the
+Each text is the set of its five-word shingles, embedded as a set of tokens: the pairs of place and value of a minhash
+signature, of which two texts share a part as large as their similarity.  A run starts with all sets in one bucket.
+A hash of the bucket samples tokens, each with probability 1 / (threshold * tokens), and a set goes on to a new bucket
+for every sampled token that it has: to 1 / threshold buckets on average, sometimes to several or none.  Buckets that
+stay large are split again in the same way, small ones are compared exhaustively, and runs repeat until a pair at the
+threshold is missed with less than the allowed probability.  A bucket that hardly shrinks holds sets that are alike;
+it is compared in pairs of blocks.
+
+Pairs never leave a task.  A bucket knows the other buckets of its sets, counts a link only if no bucket of a smaller
+number holds both sets, and returns for each set its number of links and the smallest linked set.  Classes are the
 connected components.  Texts with equal shingle sets are one set with a multiplicity.
 
 Words are runs without ASCII white space.  A text of one to four words is one shingle; a text without words (or a
 null) has no links.  A row without doc_id is not compared: it has no class.  Rows that repeat a doc_id count as
-copies if their texts are alike, and else get the smallest class and the most links of their texts.  An empty table gives no rows.
+copies if their texts are alike, and else get the smallest class and the most links of their texts.  ``drop_similar``
+goes by rows instead, compares rows without doc_id too, and keeps all columns, whatever their names.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -97,46 +101,57 @@ def signatures(docs: DataFrame, width: int, places: int) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, set_key binary, sig binary")
 
 
-def paths(sets: DataFrame, runs: range, depth: int) -> DataFrame:
-    """(rep, run, path): the node that a set reaches at each depth of each run."""
+def children(sets: DataFrame, threshold: float) -> DataFrame:
+    """(rep, bucket, parent): the buckets that sets of (rep, sig, node, parent) reach from their node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
-            rows = np.arange(len(sig))
-            for r in runs:
-                node = np.full(len(sig), _mixed(np.array([r + 1], np.uint64))[0])
-                path = np.empty((len(sig), depth), np.int64)
-                for k in range(depth):
-                    place = (node % np.uint64(sig.shape[1])).astype(np.int64) if k else np.full(len(sig), r % sig.shape[1])
-                    node = _mixed(node ^ _mixed(sig[rows, place] + (place.astype(np.uint64) << np.uint64(32))))
-                    path[:, k] = node.view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * depth, pa.int32()), pa.array(path.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(sig), r, np.int32)), lists], names=["rep", "run", "path"])
-
-    return sets.select("rep", "sig").mapInArrow(run, "rep long, run int, path array<long>")
-
-
-def buckets(sets: DataFrame, runs: range, depth: int, small: int, shrink: float) -> tuple[DataFrame, int]:
-    """(rep, run, bucket, n) for every set that shares its final bucket, and the largest depth of a bucket."""
-    rest = paths(sets, runs, depth).withColumn("parent", F.lit(None).cast("long"))
+            tokens = _mixed(sig + (np.arange(1, sig.shape[1] + 1, dtype=np.uint64) << np.uint64(32)))
+            most = np.uint64(2**64 / (threshold * sig.shape[1]))
+            lists = batch.column(2)
+            rows = np.repeat(np.arange(len(sig)), lists.value_lengths().to_numpy())
+            nodes = _mixed(lists.flatten().to_numpy().view(np.uint64))
+            for lo in range(0, len(rows), 1 << 14):
+                drawn = _mixed(tokens[rows[lo : lo + (1 << 14)]] ^ nodes[lo : lo + (1 << 14), None])
+                i, k = np.nonzero(drawn < most)
+                at = pa.array(rows[lo + i])
+                out = [batch.column(0).take(at), pa.array(_mixed(drawn[i, k]).view(np.int64)), batch.column(3).take(at)]
+                yield pa.RecordBatch.from_arrays(out, names=["rep", "bucket", "parent"])
+
+    return sets.select("rep", "sig", "nodes", "parent").mapInArrow(run, "rep long, bucket long, parent long")
+
+
+def buckets(sets: DataFrame, runs: range, depth: int, small: int, shrink: float, threshold: float) -> tuple[DataFrame, int]:
+    """(rep, bucket, n) for every set that shares a final bucket, and the largest depth of a bucket."""
+    roots = F.array(*[F.lit(r + 1).cast("long") for r in runs])
+    rest = sets.select("rep", "sig", roots.alias("nodes"), F.lit(None).cast("long").alias("parent"))
     done: list[DataFrame] = []
     for level in range(depth):
-        at = rest.withColumn("bucket", F.get("path", F.lit(level)))
-        sizes = at.groupBy("run", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        at = checkpointed(children(rest, threshold))
+        sizes = at.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         sizes = checkpointed(sizes)  # read apart from its shuffle, so that a join with large buckets can be split
-        at = checkpointed(at.join(sizes, ["run", "bucket"]))
+        at = checkpointed(at.join(sizes, "bucket"))
         stops = (F.col("n") <= small) | (F.col("n") > shrink * F.col("parent")) | F.lit(level + 1 == depth)
         stops = F.coalesce(stops, F.lit(False))
-        done.append(at.filter(stops).select("rep", "run", "bucket", "n"))
-        rest = at.filter(~stops).select("rep", "run", "path", F.col("n").alias("parent"))
+        done.append(at.filter(stops).select("rep", "bucket", "n"))
+        rest = at.filter(~stops)
         if rest.isEmpty():
             return reduce(DataFrame.union, done), level + 1
+        rest = rest.join(sets.select("rep", "sig"), "rep").select("rep", "sig", F.array("bucket").alias("nodes"), F.col("n").alias("parent"))
     return reduce(DataFrame.union, done), depth
 
 
+def reached(threshold: float, places: int, depth: int) -> float:
+    """The probability that a pair at the threshold stays together in some branch of one run down to ``depth``."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - (1 - q / (threshold * places)) ** (threshold * places)
+    return q
+
+
 def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Boolean matrix: which sets are at least ``threshold`` alike (exact)."""
     m, sizes = len(sets), np.array([len(x) for x in sets], np.float64)
@@ -181,7 +196,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(rest)
 
 
-KEYS = ["run", "bucket", "b1", "b2"]
+KEYS = ["bucket", "b1", "b2"]
 
 
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -211,10 +226,10 @@ def promising(found: DataFrame, sets: DataFrame, block: int, least: float) -> Da
                     near[k + 1 :] |= hit
                     near[k] |= hit.any()
             if near.any():
-                yield from table.select(["rep", "run", "bucket"]).filter(pa.array(near)).combine_chunks().to_batches()
+                yield from table.select(["rep", "bucket"]).filter(pa.array(near)).combine_chunks().to_batches()
 
     rows = _in_blocks(found.join(sets.select("rep", "sig"), "rep"), block)
-    return rows.mapInArrow(run, "rep long, run int, bucket long").distinct()
+    return rows.mapInArrow(run, "rep long, bucket long").distinct()
 
 
 def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, threshold: float, block: int) -> DataFrame:
@@ -222,10 +237,10 @@ def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, thresh
 
     Buckets with the same sets are compared once.  Only texts that a signature calls promising are hashed again.
     """
-    sizes = found.groupBy("run", "bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-    first = sizes.groupBy("n", "who").agg(F.min(F.struct("run", "bucket")).alias("b")).select("n", "b.run", "b.bucket")
-    seen = found.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", "bucket"))).alias("seen"))
-    todo = found.join(first, ["run", "bucket"]).groupBy("rep").agg(F.collect_list(F.struct("run", "bucket", "n")).alias("todo"))
+    sizes = found.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+    first = sizes.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("n", "bucket")
+    seen = found.groupBy("rep").agg(F.collect_list("bucket").alias("seen"))  # about 1 / threshold for each run
+    todo = found.join(first, "bucket").groupBy("rep").agg(F.collect_list(F.struct("bucket", "n")).alias("todo"))
     reps = todo.join(seen, "rep").join(sets.select("rep", "set_key", "copies", "first"), "rep")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,13 +254,13 @@ def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, thresh
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(raws, pa.binary())], names=["rep", "copies", "seen", "todo", "set"]).filter(same)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("string").alias("text"))
-    pairs = "array<struct<run: int, bucket: bigint, n: bigint>>"
-    full = texts.join(reps, "first").select("text", "set_key", "rep", "copies", "seen", "todo").mapInArrow(hashed, f"rep long, copies long, seen map<int, bigint>, todo {pairs}, set binary")
+    pairs = "array<struct<bucket: bigint, n: bigint>>"
+    full = texts.join(reps, "first").select("text", "set_key", "rep", "copies", "seen", "todo").mapInArrow(hashed, f"rep long, copies long, seen array<bigint>, todo {pairs}, set binary")
     rows = _in_blocks(full.select("rep", "copies", "seen", "set", F.inline("todo")), block)
 
     def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         rep, order = np.unique(table.column("rep").to_numpy(), return_index=True)
-        m, run = len(rep), table.column("run")[0].as_py()
+        m, bucket = len(rep), table.column("bucket")[0].as_py()
         if m < 2:
             return None
         copies, own = (table.column(c).to_numpy()[order] for c in ("copies", "own"))
@@ -255,11 +270,14 @@ def links(found: DataFrame, sets: DataFrame, docs: DataFrame, width: int, thresh
         if table.column("b1")[0].as_py() != table.column("b2")[0].as_py():
             use = own[i] != own[j]
             i, j = i[use], j[use]
-        maps = [dict(x) for x in table.column("seen").to_pylist()]
-        for r in sorted({k for x in maps for k in x if k < run}):
-            at = np.array([maps[k].get(r, 0) for k in order], np.int64)
-            here = np.array([r in maps[k] for k in order], bool)
-            use = ~((at[i] == at[j]) & here[i] & here[j])
+        lists = table.column("seen").combine_chunks().take(pa.array(order))
+        other, owner = lists.flatten().to_numpy(), np.repeat(np.arange(m), lists.value_lengths().to_numpy())
+        owner, other = owner[other < bucket], other[other < bucket]
+        values, at, n = np.unique(other, return_inverse=True, return_counts=True)
+        for k in np.flatnonzero(n > 1).tolist():  # what a bucket of a smaller number has counted
+            here = np.zeros(m, bool)
+            here[owner[at == k]] = True
+            use = ~(here[i] & here[j])
             i, j = i[use], j[use]
         if not len(i):
             return None
@@ -298,9 +316,9 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     sets = checkpointed(grouped.withColumn("rep", F.monotonically_increasing_id()))  # sets can share a doc_id
     found, missed, done = [], 1.0, 0
     while missed > 1 - recall:
-        some, deepest = buckets(sets, range(done, done + runs), depth, small, shrink)
+        some, deepest = buckets(sets, range(done, done + runs), depth, small, shrink, threshold)
         found.append(some)
-        missed *= (1 - threshold**deepest) ** runs
+        missed *= (1 - reached(threshold, places, deepest)) ** runs
         done += runs
     least = threshold - 5 * (threshold * (1 - threshold) / places) ** 0.5  # five standard deviations of the agreement
     found = checkpointed(promising(reduce(DataFrame.union, found), sets, small, least))
@@ -319,6 +337,12 @@ def similar_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
 
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest doc_id; all columns stay."""
-    gone = similar_classes(docs, **options).filter("class_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each class, that of the smallest doc_id (no doc_id comes last); all columns stay."""
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
+    given = rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text"))
+    members = similar_classes(given, **options).filter("n_links > 0").select(F.col("doc_id").alias("rid"), "class_id")
+    ranked = members.join(rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id")), "rid")
+    ranked = checkpointed(ranked.select("rid", "class_id", F.struct(F.col("doc_id").isNull(), "doc_id", "rid").alias("place")))
+    stays = ranked.groupBy("class_id").agg(F.min("place").alias("best")).select("best.rid")
+    gone = ranked.select("rid").join(stays, "rid", "left_anti")
+    return rows.join(gone, "rid", "left_anti").select("row.*")
