@@ -592,6 +592,24 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.toxicity(docs, known.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_odd_rows(spark):
+    rng, rows = random.Random(9), []
+    for k in range(300):
+        words = prose(k, 60, 3000).split() + ["grumbleface stinkbucket"] * (2 * (k % 4 == 0))
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    odd = [(None, rows[0][1]), (None, None), (0, rows[0][1]), (500, "x" * 200_000), (501, "grumbleface" * 3000), (502, "a " * 100_000), (503, "\u4e2d" * 9000)]
+    docs = spark.createDataFrame([(*r, "t", 0.5) for r in rows + odd], "doc_id long, text string, toxic string, score double").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0), "z", 2.0) for k in range(300)] + [(None, 1, "z", 1.0), (3, None, "z", 1.0)], "doc_id long, toxic int, text string, score double")
+    got = [(r.doc_id, r.held_out, r.score, r.predicted) for r in toxicity.toxicity(docs, labels, contexts=3).collect()]
+    assert len(got) == 307 and all(s is not None and 0 <= s <= 1 and p == int(s >= 0.3) for _, _, s, p in got)
+    twice = [x for x in got if x[0] == 0]
+    assert len(twice) == 2 and twice[0] == twice[1] and not any(h for i, h, *_ in got if i is None)
+    held = [(s, k % 4 == 0) for k, h, s, _ in got if h and k is not None and k < 300]
+    bad, good = [s for s, y in held if y], [s for s, y in held if not y]
+    assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) >= 0.9 * len(bad) * len(good)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
