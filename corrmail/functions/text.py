@@ -56,7 +56,7 @@ def is_own_reply(c: Column | str) -> Column:
 def subject_prefix(c: Column | str) -> Column:
     """What stands before the normalized subject in the original one."""
     at = F.instr(F.lower(_text(c)), normalize_subject(c))
-    return F.when((normalize_subject(c) != "") & (at > 1), F.substring(_text(c), F.lit(1), at - 1)).otherwise("")
+    return F.when((normalize_subject(c) != "") & (at > 1), stripped(F.substring(_text(c), F.lit(1), at - 1))).otherwise("")
 
 
 def letters_of(c: Column | str) -> Column:
@@ -138,3 +138,8 @@ def html_text(c: Column | str) -> Column:
     bare = F.regexp_replace(_text(c), r"(?is)<(script|style)\b.*?</\1\s*>", "")
     lines = F.transform(F.split(F.regexp_replace(bare, r"<[^>]+>", "\n"), "\n"), stripped)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def format_datetime(c: Column | str) -> Column:
+    """A time to the minute; empty where there is none."""
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit(""))

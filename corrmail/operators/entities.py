@@ -139,3 +139,12 @@ def duplicate_names(people: DataFrame) -> DataFrame:
     groups = people.filter("name != ''").groupBy("name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("email")).alias("emails"), F.array_sort(F.collect_set(F.coalesce("institution", F.lit("")))).alias("places"))
     one_place = (F.size("places") == 1) & (F.get("places", F.lit(0)) != "")
     return groups.filter("n > 1").select("name", "n", "emails", F.when(one_place, SAME_PLACE).otherwise(OTHER_PLACE).alias("reason"))
+
+
+def merge_two(people: DataFrame, links: DataFrame, keep: str, remove: str) -> tuple[DataFrame, DataFrame]:
+    """(people, links) after ``remove`` has become part of ``keep``: its links move, and the count of ``keep`` follows them."""
+    moved = links.withColumn("email", F.when(F.col("email") == remove, keep).otherwise(F.col("email")))
+    count = moved.filter(F.col("email") == keep).agg(F.count("*").alias("_sent"))
+    rest = people.filter(F.col("email") != remove).join(F.broadcast(count))  # one row
+    sent = F.when(F.col("email") == keep, F.col("_sent")).otherwise(F.col("send_count"))
+    return rest.withColumn("send_count", sent).drop("_sent"), moved

@@ -41,3 +41,8 @@ def by_type(folders: DataFrame) -> DataFrame:
     types = folders.sparkSession.createDataFrame([(t,) for t in L.FOLDER_TYPES], "folder_type string")
     got = folders.groupBy("folder_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
     return types.join(got, "folder_type", "left").select("folder_type", F.coalesce("n", F.lit(0)).cast("long").alias("n_folders"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+
+
+def totals(folders: DataFrame) -> DataFrame:
+    """(n_folders, n_messages) of the folders that a scan would take."""
+    return folders.agg(F.count("*").alias("n_folders"), F.coalesce(F.sum("message_count"), F.lit(0)).cast("long").alias("n_messages"))

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of the session; a local one only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/corrmail")
+    """A reliable checkpoint in the shared folder of the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Where it is unset, a local master gets a folder on this machine; on a cluster that would lose files, so it is an error.
+    """
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "/tmp/checkpoints/corrmail"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return (spark.conf.get("spark.checkpoint.dir", None) or found).rstrip("/")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each id of ``edges`` (a, b) is connected with.
 

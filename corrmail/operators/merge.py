@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corrmail.functions import lexicon as L
+from corrmail.operators.graph import checkpointed
 
 OVERRIDABLE = ("name", "institution", "status", "reply_summary", "admission_intent", "my_reply_status", "action_required")
 BUCKETS = ("positive_intent", "welcome_apply", "suggest_camp", "willing_to_talk", "quota_uncertain", "polite_no_intent", "negative")
@@ -33,7 +34,7 @@ def override_pivot(log: DataFrame, fields: tuple[str, ...] = OVERRIDABLE, newest
     return log.groupBy(key).agg(*[pick("value", when(f)).alias(f) for f in fields])
 
 
-def merged_table(people: DataFrame, status: DataFrame, my_status: DataFrame, ruled: DataFrame, analyses: DataFrame | None = None, overrides: DataFrame | None = None, emails: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+def merged_table(people: DataFrame, status: DataFrame, my_status: DataFrame, ruled: DataFrame, analyses: DataFrame | None = None, overrides: DataFrame | None = None, emails: DataFrame | None = None, excluded: DataFrame | None = None, index: bool = True) -> DataFrame:
     """The 19 columns of each correspondent, ordered by name in ``index``.
 
     A model's analysis replaces the rules' where it is surer.  Overrides (from ``override_pivot``) come last.
@@ -77,16 +78,14 @@ def merged_table(people: DataFrame, status: DataFrame, my_status: DataFrame, rul
         F.array_join("proof", "; ").alias("evidence"), F.col("intent").alias("admission_intent"), F.col("my_status").alias("my_reply_status"),
         F.col("action").alias("action_required"), F.col("step").alias("recommended_next_step"), F.col("sure").alias("confidence"), doubt.alias("needs_review"),
     )
-    return with_index(out)
+    return with_index(out) if index else out
 
 
-def with_index(rows: DataFrame, parts: int = 64) -> DataFrame:
+def with_index(rows: DataFrame) -> DataFrame:
     """Number rows by (name, email) from 1 without one sort of all: ranges are numbered and add what precedes them."""
-    ranged = rows.repartitionByRange(parts, "name", "email").withColumn("_part", F.spark_partition_id())
+    ranged = rows.repartitionByRange("name", "email").withColumn("_part", F.spark_partition_id())
     inner = F.row_number().over(Window.partitionBy("_part").orderBy("name", "email"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    from corrmail.operators.graph import checkpointed
-
     ranged = checkpointed(ranged)
     starts = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
     numbered = ranged.withColumn("_nth", inner).join(starts, "_part")
@@ -133,6 +132,34 @@ def labelled_statistics(stats: DataFrame) -> DataFrame:
     return stats.select(F.inline(pairs))
 
 
+#: The columns of the table on screen and their names there.
+DISPLAYED = {
+    "index": "序号",
+    "name": "导师姓名",
+    "institution": "学校/单位",
+    "emails": "邮箱",
+    "send_count": "发送次数",
+    "has_real_reply": "回复状态",
+    "reply_time": "回复时间",
+    "reply_summary": "回复摘要",
+    "admission_intent": "招生意向",
+    "my_reply_status": "我是否回复",
+    "action_required": "建议行动",
+    "confidence": "置信度",
+    "needs_review": "需要复核",
+}
+
+
+def display_table(merged: DataFrame) -> DataFrame:
+    """The 13 columns that are shown, under their names on screen."""
+    return merged.select(*[F.col(c).alias(name) for c, name in DISPLAYED.items()])
+
+
+def preview(frame: DataFrame, order: str, most: int = 10) -> DataFrame:
+    """The first rows of an export."""
+    return frame.orderBy(order).limit(most)
+
+
 def search(rows: DataFrame, query: str, status: str | None = None) -> DataFrame:
     """Rows that have ``query`` in any column, optionally of one status."""
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns]))

@@ -88,10 +88,15 @@ def unanswered(replies: DataFrame, messages: DataFrame) -> DataFrame:
     later = ~((F.col("date") != "") & (F.col("sent_date") != "") & (F.col("sent_date") <= F.col("date")))
     named = sent.select("sent_date", F.explode(F.array_distinct(F.concat(F.array("irt"), F.coalesce("references", F.array().cast("array<string>"))))).alias("message_id")).filter("message_id != ''")
     by_id = real.join(named, "message_id").filter(later).select("email", "id")
+    # only the latest message to a person under a subject matters, and only distinct subjects are compared
+    undated = F.max(F.col("sent_date") == "").alias("undated")
     to_person = sent.select("sent_date", F.explode(F.array_distinct("to")).alias("email"), normalize_subject("sent_subject").alias("s2")).filter("s2 != ''")
-    rows = real.withColumn("s1", normalize_subject("subject")).filter("s1 != ''").join(to_person, "email").filter(later)
+    to_person = to_person.groupBy("email", "s2").agg(F.max("sent_date").alias("sent_date"), undated)
+    asked = real.withColumn("s1", normalize_subject("subject")).filter("s1 != ''")
     alike = (F.col("s1") == F.col("s2")) | (letter_jaccard(letters_of(F.col("s1")), letters_of(F.col("s2"))) >= SIMILAR)
-    answered = by_id.union(rows.filter(alike).select("email", "id")).distinct()
+    pairs = asked.select("email", "s1").distinct().join(to_person, "email").filter(alike).groupBy("email", "s1").agg(F.max("sent_date").alias("sent_date"), F.max("undated").alias("undated"))
+    by_subject = asked.join(pairs, ["email", "s1"]).filter(later | F.col("undated")).select("email", "id")
+    answered = by_id.union(by_subject).distinct()
     return real.join(answered, ["email", "id"], "left_anti").select("email", "id", "date")
 
 

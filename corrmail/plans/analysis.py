@@ -32,13 +32,14 @@ class Options:
 class Analysis:
     """Steps over message rows, each built when it is asked for.
 
-    What several steps read (outreach, people, sent messages, replies) is checkpointed: it runs once, later plans stay
+    What several steps read (messages, outreach, people, sent messages, replies) is checkpointed: it runs once, later plans stay
     short, and a lost executor loses nothing.  ``overrides`` and ``analyses`` are logs; the
     newest entry of a field counts.
     """
 
     def __init__(self, messages: DataFrame, options: Options = Options(), overrides: DataFrame | None = None, analyses: DataFrame | None = None, excluded: DataFrame | None = None) -> None:
-        self.messages, self.options, self.analyses, self.excluded = messages, options, analyses, excluded
+        self.messages = checkpointed(messages.drop("body_html_text"))  # each step reads them
+        self.options, self.analyses, self.excluded = options, analyses, excluded
         self.overrides = None if overrides is None else merge.override_pivot(overrides)
 
     @cached_property
@@ -83,14 +84,18 @@ class Analysis:
     def ruled(self) -> DataFrame:
         return rules.classify(self.status.join(self.my_status, "email"), rules=self.options.reply_rules)
 
+    def _merged(self, index: bool) -> DataFrame:
+        latest = None if self.analyses is None else merge.latest_analysis(self.analyses)
+        return merge.merged_table(self.people, self.status, self.my_status, self.ruled, latest, self.overrides, excluded=self.excluded, index=index)
+
     @cached_property
     def merged(self) -> DataFrame:
-        latest = None if self.analyses is None else merge.latest_analysis(self.analyses)
-        return merge.merged_table(self.people, self.status, self.my_status, self.ruled, latest, self.overrides, excluded=self.excluded)
+        return self._merged(True)
 
     @cached_property
     def statistics(self) -> DataFrame:
-        return merge.statistics(self.merged, self.messages)
+        """Counts need no index, so no range partitioning."""
+        return merge.statistics(self._merged(False), self.messages)
 
 
 def analyze(messages: DataFrame, options: Options = Options(), **tables: DataFrame | None) -> Analysis:

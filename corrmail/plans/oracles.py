@@ -193,12 +193,12 @@ ORACLES: dict[str, str] = {
     "stats_long": _with("select x.label, x.value from (select unnest([" + ", ".join(f"{{'label': {_q(label)}, 'value': {c}::varchar}}" for c, label in L.STAT_LABELS.items()) + "]) as x from stats)", _SCORE, _PEOPLE, _TABLES, _MERGED, _STATS),
     "latest_analysis": "select user_id, max_by(event_id, (ts, event_id)) as seq, max_by(event_type, (ts, event_id)) as event_type, max_by(value, (ts, event_id)) as value from events group by user_id",
     "override_pivot": "select user_id, " + ", ".join(f"max_by(value, (ts, event_id)) filter (event_type = '{f}') as {f}, min_by(value, (ts, event_id)) filter (event_type = '{f}') as old_{f}" for f in ("view", "click", "purchase", "signup", "error")) + " from events group by user_id",
-    "override_history": "select event_id, c_name as name, value from events join customer on c_custkey = user_id where event_type = 'error'",
+    "override_history": "select event_id, c_name as name, value from events join customer on c_custkey = user_id",
     "search_filter": _with(f"select email, has_real_reply from merged where has_real_reply = '是' and contains(lower(concat_ws(' ', {_MERGED_COLUMNS})), 'p1')", _SCORE, _PEOPLE, _TABLES, _MERGED),
     "review_queue": _with("select email, 'flagged' as why from merged union all select email, 'low_confidence' from merged where confidence < 0.5", _SCORE, _PEOPLE, _TABLES, _MERGED),
     "reply_bundle": _with("select email, sha256(string_agg(body, chr(10) || '---' || chr(10) order by date, id)) as bundle_hash from rel join m using (id) where trim(body) <> '' group by email", _SCORE, _PEOPLE),
     "changed_fields": "select c_custkey, 'c_mktsegment' as field, c_mktsegment as old_value, 'NEW' as new_value from customer where c_custkey % 7 = 0 and c_mktsegment <> 'NEW'",
-    "evidence_listing": _with("select email, id, case when row_number() over (partition by email order by date, id) = 1 then '首次套磁' when contains(lower(subject), 're:') then '我的回复' else '补发邮件' end as role, date, left(body, 50) as preview from contact", _SCORE, _PEOPLE),
+    "evidence_listing": _with("select email, id, case when row_number() over (partition by email order by date, id) = 1 then '首次套磁' when contains(lower(subject), 're:') then '我的回复' else '补发邮件' end as role, date, left(body, 500) as preview from contact", _SCORE, _PEOPLE),
     "incremental_sync": f"with {_SYNC} select folder_id, uid, event_type from fresh",
     "sync_state": f"with {_SYNC} select folder_id, uidvalidity::bigint as uidvalidity, last_sync_uid from nxt",
     "epoch_reset": f"with {_SYNC} select folder_id, count(*) as n_rows from e join nxt using (folder_id) where nxt.uidvalidity = 7 group by folder_id",

@@ -236,7 +236,7 @@ def override_pivot(spark, sf_dir):
 
 
 def override_history(spark, sf_dir):
-    log = _table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", "user_id", "value")
+    log = _table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     people = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
     return log.join(people, "user_id").select("event_id", "name", "value")
 
@@ -262,7 +262,7 @@ def changed_fields(spark, sf_dir):
 
 def evidence_listing(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    return merge.evidence_listing(a.roles, _messages(spark, sf_dir), 50).select("email", "id", "role", "date", "preview")
+    return merge.evidence_listing(a.roles, _messages(spark, sf_dir)).select("email", "id", "role", "date", "preview")
 
 
 def _sync_tables(spark, sf_dir):
@@ -293,10 +293,18 @@ def export_frame(spark, sf_dir):
     return frame.select(F.col("index").alias("row"), "name", "send_count", "has_real_reply", "needs_review", "confidence")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _listed(names: dict, module: str) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     skip = {"queries", "oracle_sql", "analyze", "conversations_as_messages"}
-    return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
+    return {k: f for k, f in names.items() if callable(f) and getattr(f, "__module__", "") == module and not k.startswith("_") and k not in skip}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from corrmail.plans import mail_queries
+
+    return _listed(globals(), __name__) | _listed(vars(mail_queries), mail_queries.__name__)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from corrmail.plans import mail_oracles
+
+    return ORACLES | mail_oracles.ORACLES

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,8 +59,47 @@ def sync_folder(spark: SparkSession, landing: str, table: str, errors: str, chec
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(landing)
 
     def store(batch: DataFrame, _: int) -> None:
-        parsed = parse_messages(batch)
+        parsed = parse_messages(batch).persist()  # each file is parsed once
         store_batch(as_messages(parsed, owner, account_id, folder_id), table)
-        quarantine(parsed).write.mode("append").parquet(errors)
+        quarantine(parsed).withColumn("account_id", F.lit(account_id).cast("long")).withColumn("folder_id", F.lit(folder_id).cast("long")).write.mode("append").parquet(errors)
+        parsed.unpersist()
 
     return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+RUNS = "run_id string, account_id long, started_at timestamp, ended_at timestamp, status string, folders long, stored long, errors long"
+
+
+def _rows_of(spark: SparkSession, path: str, folder: int, account_id: int) -> int:
+    try:
+        return spark.read.parquet(path).filter((F.col("folder_id") == folder) & (F.col("account_id") == account_id)).count()
+    except Exception as e:  # nothing stored yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return 0
+
+
+def sync_folders(spark: SparkSession, folders: dict[int, str], base: str, owner: str, account_id: int = 1, cancelled: Callable[[], bool] = lambda: False) -> dict:
+    """Sync each folder (id: landing place) in turn, and append a row about the run to ``base``/runs.
+
+    Messages, errors and the state of the streams lie below ``base`` too.  A folder whose sync fails counts as an error
+    and does not end the run; ``cancelled`` is asked before each folder.
+    """
+    started, details, status = datetime.now(), [], "completed"
+    for folder, landing in sorted(folders.items()):
+        if cancelled():
+            status = "cancelled"
+            break
+        count = lambda: [_rows_of(spark, f"{base}/{t}", folder, account_id) for t in ("messages", "errors")]  # noqa: E731, B023
+        before = count()
+        try:
+            sync_folder(spark, landing, f"{base}/messages", f"{base}/errors", f"{base}/state/{account_id}-{folder}", owner, account_id, folder).awaitTermination()
+            failed = 0
+        except StreamingQueryException:
+            failed = 1
+        after = count()
+        details.append({"folder": folder, "stored": after[0] - before[0], "errors": after[1] - before[1] + failed})
+    run = {"run_id": uuid.uuid4().hex, "status": status, "folders": len(folders), **{k: sum(d[k] for d in details) for k in ("stored", "errors")}}
+    row = (run["run_id"], account_id, started, datetime.now(), status, run["folders"], run["stored"], run["errors"])
+    spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(f"{base}/runs")
+    return run | {"details": details}

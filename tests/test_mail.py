@@ -80,3 +80,19 @@ def test_mbox_and_aliases(spark, tmp_path):
     (tmp_path / "alias.csv").write_text("﻿teacher_name,institution,email,alias_email,notes\nW,U,a@x.cn,b@y.cn,\n", encoding="utf-8")
     row = mailbox.read_aliases(spark, str(tmp_path / "alias.csv")).first()
     assert (row.teacher_name, row.alias_email) == ("W", "b@y.cn")
+
+
+def test_sync_of_several_folders_keeps_a_log(spark, tmp_path):
+    landings = {}
+    for folder in (1, 2, 3):
+        (tmp_path / f"in{folder}").mkdir()
+        for k in range(folder):
+            (tmp_path / f"in{folder}" / f"{k}.eml").write_bytes(message(f"s{k}"))
+        landings[folder] = str(tmp_path / f"in{folder}")
+    got = sync.sync_folders(spark, landings, str(tmp_path / "base"), OWNER)
+    assert (got["status"], got["folders"], got["stored"], got["errors"]) == ("completed", 3, 6, 0)
+    assert sync.sync_folders(spark, landings, str(tmp_path / "base"), OWNER)["stored"] == 0
+    calls = iter([False, True])
+    assert sync.sync_folders(spark, landings, str(tmp_path / "base"), OWNER, cancelled=lambda: next(calls))["status"] == "cancelled"
+    runs = spark.read.parquet(str(tmp_path / "base" / "runs"))
+    assert runs.count() == 3 and {r.status for r in runs.collect()} == {"completed", "cancelled"}
