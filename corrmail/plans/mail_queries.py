@@ -89,7 +89,7 @@ def institution_text(spark, sf_dir):
 
 def subject_prefix(spark, sf_dir):
     mark = F.element_at(F.array(*[F.lit(x) for x in ("Re: ", "RE：", "Fwd: ", "转发: ", "回复：", "", "Re ")]), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return _table(spark, sf_dir, "part").select("p_partkey", text.subject_prefix(F.concat(mark, "p_name")).alias("prefix"))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.stripped(text.subject_prefix(F.concat(mark, "p_name"))).alias("prefix"))
 
 
 def folder_lines(spark, sf_dir):
