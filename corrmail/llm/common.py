@@ -8,27 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corrmail.operators.graph import checkpointed
+from corrmail.operators.graph import checkpointed, shared_folder
 
-__all__ = ["SPACE", "WORD", "checkpointed", "chunk_count", "chunk_of", "materialize", "prefix_sum", "shared_dir", "shuffle_partitions"]
+__all__ = ["SPACE", "WORD", "checkpointed", "chunk_count", "chunk_of", "materialize", "prefix_sum", "shuffle_partitions"]
 
 #: The white space that separates words, and what a word is made of.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "/tmp/checkpoints/corrmail"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
