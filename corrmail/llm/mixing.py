@@ -142,7 +142,7 @@ def _spans(docs: DataFrame, block: int, slots: int, seed: int) -> DataFrame:
 
 def _sized(docs: DataFrame) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("text").cast("string").alias("text"), "source", size.alias("size"), F.monotonically_increasing_id().alias("_row"))
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("_row"))
 
 
 def mix(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 7) -> DataFrame:
@@ -165,7 +165,7 @@ def mixed_blocks(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int
     """The output shards: (shard, slot, sid, pass, block, words, text) with the block's words, as they stand in the documents."""
     rows = materialize(_sized(docs), "mix")
     placed, sources = _placed(rows)
-    spans = _in_blocks(placed, block).filter("size > 0").join(rows.select("_row", "text"), "_row")
+    spans = _in_blocks(placed, block).filter("size > 0").join(rows.select("_row", F.col("row.text").cast("string").alias("text")), "_row")
     words = _cut_words(F.regexp_extract_all("text", F.lit(_SPACED), F.lit(0)), F.col("lo"), F.col("hi"))
     blocks = spans.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("at", words.alias("words")))).alias("parts"))  # `block` words at most
     plan = slot_plan(sources, block, slots, seed).join(blocks, ["sid", "block"])
@@ -180,13 +180,13 @@ def mixed_documents(docs: DataFrame, block: int = 128, slots: int = 4096, seed:
     A pass that takes all words keeps the text as it is; ``n_chars`` follows the text.
     """
     rows = materialize(_sized(docs), "mix")
-    cut = _spans(rows.drop("row", "text"), block, slots, seed).filter("taken > 0")
+    cut = _spans(rows.drop("row"), block, slots, seed).filter("taken > 0")
     # a block's uses, those that take most of it first, are passes one after the other
     ordered = F.reverse(F.array_sort("takes"))
     each = F.flatten(F.transform(ordered, lambda t: F.array_repeat(t.words, t.n.cast("int"))))
     cut = cut.select("_row", "lo", "hi", "at", F.posexplode(each).alias("pass", "words")).withColumn("hi", F.least("hi", F.col("lo") + F.col("words") - F.col("at"))).filter("hi > lo")
     parts = cut.groupBy("_row", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
-    found = rows.join(parts, "_row")
+    found = rows.select("_row", "row", "size").join(parts, "_row").withColumn("text", F.col("row.text").cast("string"))
     whole = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p.hi - p.lo) == F.col("size")
     found = found.withColumn("words", F.when(~whole, F.regexp_extract_all("text", F.lit(_SPACED), F.lit(0))))
     some = F.array_join(F.flatten(F.transform("parts", lambda p: _cut_words(F.col("words"), p.lo, p.hi))), "")
