@@ -14,6 +14,9 @@ from corrmail.functions import lexicon as L
 from corrmail.functions.text import formula_guard
 
 DETAIL_ROWS = 5000
+#: Fixed values of a report's look: header colours and font, least and most column width, rows that set the width.
+HEADER_FILL, HEADER_TEXT, HEADER_FONT = "4472C4", "FFFFFF", "微软雅黑"
+WIDTHS, WIDTH_ROWS = (10, 50), 49
 
 
 def export_frame(merged: DataFrame, labels: bool = True) -> DataFrame:
@@ -45,7 +48,7 @@ def write_json(merged: DataFrame, stats: DataFrame, path: str) -> None:
 
 
 def workbook(sheets: Iterable[tuple[str, list[str], list[tuple]]]) -> bytes:
-    """A spreadsheet file (Office Open XML) with a frozen, filtered header row on each sheet."""
+    """A spreadsheet file (Office Open XML): coloured header row, frozen and filtered, columns as wide as their text."""
     sheets = list(sheets)
     out = BytesIO()
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -59,23 +62,41 @@ def workbook(sheets: Iterable[tuple[str, list[str], list[tuple]]]) -> bytes:
             name, k = chr(65 + r) + name, k - 1
         return name
 
+    def widths(table: list[tuple]) -> str:
+        longest = [max(len("" if v is None else str(v)) for v in cells) for cells in zip(*table[:WIDTH_ROWS])]
+        cols = "".join(f'<col min="{k}" max="{k}" width="{min(max(1.5 * n + 2, WIDTHS[0]), WIDTHS[1]):g}" customWidth="1"/>' for k, n in enumerate(longest, 1))
+        return f"<cols>{cols}</cols>" if cols else ""
+
+    def styles() -> str:
+        """Cell formats: 0 plain, 1 header, 2 wrapped text."""
+        fonts = f'<fonts count="2"><font><sz val="11"/></font><font><b/><sz val="11"/><color rgb="FF{HEADER_TEXT}"/><name val="{HEADER_FONT}"/></font></fonts>'
+        fill = f'<fill><patternFill patternType="solid"><fgColor rgb="FF{HEADER_FILL}"/></patternFill></fill>'
+        fills = f'<fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill}</fills>'
+        borders = '<borders count="1"><border><left/><right/><top/><bottom/><diagonal/></border></borders>'
+        base = '<cellStyleXfs count="1"><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/></cellStyleXfs>'
+        header = '<xf numFmtId="0" fontId="1" fillId="2" borderId="0" xfId="0" applyFont="1" applyFill="1" applyAlignment="1"><alignment horizontal="center" vertical="center"/></xf>'
+        wrapped = '<xf numFmtId="0" fontId="0" fillId="0" borderId="0" xfId="0" applyAlignment="1"><alignment vertical="top" wrapText="1"/></xf>'
+        cells = f'<cellXfs count="3"><xf numFmtId="0" fontId="0" fillId="0" borderId="0" xfId="0"/>{header}{wrapped}</cellXfs>'
+        return f'{head}<styleSheet xmlns="{main}">{fonts}{fills}{borders}{base}{cells}</styleSheet>'
+
     def sheet(names: list[str], rows: list[tuple]) -> str:
         lines = []
         for n, row in enumerate([tuple(names), *rows], 1):
-            cells = "".join(f'<c r="{column(k)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for k, v in enumerate(row))
+            cells = "".join(f'<c r="{column(k)}{n}" s="{1 if n == 1 else 2}" t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for k, v in enumerate(row))
             lines.append(f'<row r="{n}">{cells}</row>')
         view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
         last = f"{column(max(len(names) - 1, 0))}{len(rows) + 1}"
-        return f'{head}<worksheet xmlns="{main}">{view}<sheetData>{"".join(lines)}</sheetData><autoFilter ref="A1:{last}"/></worksheet>'
+        return f'{head}<worksheet xmlns="{main}">{view}{widths([tuple(names), *rows])}<sheetData>{"".join(lines)}</sheetData><autoFilter ref="A1:{last}"/></worksheet>'
 
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>')
         z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         listed = "".join(f'<sheet name="{escape(name[:31])}" sheetId="{k}" r:id="rId{k}"/>' for k, (name, _, _) in enumerate(sheets, 1))
         z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
         links = "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}<Relationship Id="rIdStyles" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", styles())
         for k, (_, names, rows) in enumerate(sheets, 1):
             z.writestr(f"xl/worksheets/sheet{k}.xml", sheet(names, rows))
     return out.getvalue()

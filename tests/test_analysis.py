@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import io
 import json
 import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 import pytest
@@ -158,6 +160,17 @@ def test_exports(result, tmp_path):
     assert "xl/worksheets/sheet1.xml" in zipfile.ZipFile(tmp_path / "x.xlsx").namelist()
 
 
+def test_workbook_look():
+    """Header cells have their own format, columns the width of their text within bounds; every part is well formed."""
+    file = zipfile.ZipFile(io.BytesIO(sinks.workbook([("a<b", ["id", "text"], [(1, "x" * 20), (None, "y" * 99)]), ("none", ["id"], [])])))
+    parts = {n: ElementTree.fromstring(file.read(n)) for n in file.namelist()}
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    first = parts["xl/worksheets/sheet1.xml"]
+    assert [c.get("width") for c in first.findall("m:cols/m:col", ns)] == ["10", "50"]
+    assert [[c.get("s") for c in r] for r in first.findall("m:sheetData/m:row", ns)] == [["1", "1"], ["2", "2"], ["2", "2"]]
+    assert len(parts["xl/styles.xml"].findall("m:cellXfs/m:xf", ns)) == 3 and len(parts["xl/worksheets/sheet2.xml"].findall("m:sheetData/m:row", ns)) == 1
+
+
 def test_empty_input(messages):
     a = analyze(messages.limit(0))
     assert a.merged.count() == 0 and a.statistics.first().reply_rate == 0.0
