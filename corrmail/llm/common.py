@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corrmail.operators.graph import checkpointed, shared_folder
 
-__all__ = ["SPACE", "WORD", "checkpointed", "chunk_count", "chunk_of", "materialize", "prefix_sum", "shuffle_partitions"]
+__all__ = ["SPACE", "WORD", "checkpointed", "chunk_count", "chunk_of", "hot_join", "materialize", "prefix_sum", "shuffle_partitions"]
 
 #: The white space that separates words, and what a word is made of.
 SPACE = r"[\x20\x09-\x0D]"
@@ -57,3 +57,28 @@ def prefix_sum(df: DataFrame, groups: list[str], chunk: str, order: list[Column]
         cond = cond & x
     joined = rows.join(sums, cond, "left").withColumn(out, F.col(base) + F.col(inner))
     return joined.drop(base, inner, *[f"{out}_{k}" for k in keys])
+
+
+def hot_join(rows: DataFrame, small: DataFrame, keys: list[str], size: str, most: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``small``, which has one row for each value of ``keys`` and its number of rows in ``size``.
+
+    A key with more than 1 / ``most`` of all rows would be one large task; there are fewer than ``most`` such keys
+    whatever the size of the table, so these go to every task and only the rows of all other keys are shuffled.
+    Null keys match null keys.
+    """
+    total = small.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    small = materialize(small.withColumn("_hot", F.col(size) * most > total), "groups").drop(size)
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    others = [c for c in small.columns if c not in (*keys, "_hot")]
+
+    def meet(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return a.join(b, on, how)
+
+    hot = F.broadcast(small.filter("_hot").select(*names, *others))
+    flags = F.broadcast(small.filter("_hot").select(*names))
+    columns = [*rows.columns, *others]
+    light = meet(meet(rows, flags, "left_anti"), small.filter("not _hot").select(*names, *others), "inner")
+    return meet(rows, hot, "inner").select(*columns).unionByName(light.select(*columns))
