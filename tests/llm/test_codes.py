@@ -25,13 +25,13 @@ def library():
     import public_tokenizers
     import tiktoken
 
-    ranks = bpe.Vocabulary.read(tokenizer_path(RANKS)).ranks
+    ranks = bpe.read_ranks(tokenizer_path(RANKS))
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @pytest.fixture(scope="module")
 def transducer():
-    return bpe.Transducer(bpe.Vocabulary.read(tokenizer_path(RANKS)))
+    return bpe.Transducer(bpe.Vocabulary(bpe.read_ranks(tokenizer_path(RANKS))))
 
 
 def merged(ranks, piece):
@@ -113,7 +113,7 @@ def test_texts_equal_library(library):
 
 
 def test_streaming_decoder(library):
-    table = bpe.DecodeTable(bpe.Vocabulary.read(tokenizer_path(RANKS)).tokens)
+    table = bpe.DecodeTable(bpe.by_rank(bpe.read_ranks(tokenizer_path(RANKS))))
     text = "日本語é👍🏽 テキスト" * 3
     ids = np.array(library.encode_ordinary(text))
     decoder = bpe.Decoder(table)
@@ -147,6 +147,8 @@ def test_round_trip_rows(spark, library):
         return doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
     assert Counter(map(tuple, got.collect())) == Counter(digest(r[0], r[1]) for r in [*rows, rows[0]])
+    two = bpe.decoded(bpe.encoded(docs, tokenizer_path(RANKS), public_tokenizers.PATTERN), tokenizer_path(RANKS)).collect()
+    assert Counter((r.doc_id, bytes(r.decoded), r.valid) for r in two) == Counter((r[0], (r[1] or "").encode(), True) for r in [*rows, rows[0]])
     assert bpe.round_trip(docs.filter("false"), tokenizer_path(RANKS), public_tokenizers.PATTERN).count() == 0
 
 
