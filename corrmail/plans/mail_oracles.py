@@ -71,4 +71,19 @@ ORACLES: dict[str, str] = {
     "display_table": _with('select "index" as "序号", name as "导师姓名", institution as "学校/单位", email as "邮箱", send_count as "发送次数", has_real_reply as "回复状态", reply_time as "回复时间", admission_intent as "招生意向", my_reply_status as "我是否回复", action_required as "建议行动", confidence as "置信度", needs_review as "需要复核" from merged', _SCORE, _PEOPLE, _TABLES, _MERGED),
     "export_preview": _with('select "index", email, send_count from merged where "index" <= 10', _SCORE, _PEOPLE, _TABLES, _MERGED),
     "merged_with_logs": _with('select row_number() over (order by name, email) as "index", * from final', _SCORE, _PEOPLE, _TABLES, _MERGED, _LOGGED),
+    "archive_bodies": _with(f"select id, sha256(case when {_strip('body')} = '' then '' else body || chr(10) end) as body_hash from m"),
+    "archive_of_a_month": _with("select id, replace(left(date, 19), 'T', ' ') as sent from m where left(date, 7) = '2024-03'"),
+    "keyed_changes": """
+        with o as (select o_custkey as k, count(*) as n, max(o_orderdate)::date as last from orders group by all),
+        t as (select coalesce(c.c_custkey, o.k) as k, coalesce(c_name, 'from orders') as name, c_mktsegment as segment, o.n as orders, o.last
+              from (select * from customer where c_custkey % 3 > 0) c full join o on c.c_custkey = o.k)
+        select k::bigint as k, name, case when c_nationkey = 5 then lower(segment) else segment end as segment,
+            case when c_nationkey = 5 then coalesce(orders, 0) + 1 else orders end as orders, last
+        from t left join customer on c_custkey = k where coalesce(c_acctbal >= 0, true)
+    """,
+    "clear_account": """
+        select 'person' as kind, c_custkey::bigint as id from customer where c_nationkey <> 3 union all
+        select 'link', o_orderkey::bigint from orders where not exists (select 1 from customer where c_custkey = o_custkey and c_nationkey = 3)
+    """,
+    "sync_epochs": "select (user_id % 5)::bigint as folder_id, case when user_id % 5 = 2 then 8 else 7 end::bigint as uidvalidity, event_id::bigint as uid, event_type as body from events where user_id % 5 <> 2 or event_id % 2 = 1",
 }

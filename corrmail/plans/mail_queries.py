@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from corrmail.functions import privacy, text
 from corrmail.operators import contacts, entities, folders, merge, replies, threads
 from corrmail.plans.analysis import analyze
 from corrmail.plans.queries import BODY_WORDS, OPTIONS, SUBJECT_WORDS, _analysis, _messages, _table
-from corrmail.sources import mailbox, mime
-from corrmail.sources.adapters import OWNER, conversations_as_files
+from corrmail.operators.graph import shared_folder
+from corrmail.sources import archive, mailbox, mime
+from corrmail.sources.adapters import MONTHS, OWNER, conversations_as_files
+from corrmail.sources.tables import KeyedTable, clear_analysis, ranged
+from corrmail.streaming import state
 
 
 def _mail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,3 +156,67 @@ def merged_with_logs(spark, sf_dir):
     excluded = spark.range(40).where("id % 10 = 7").selectExpr(email)
     merged = analyze(_messages(spark, sf_dir), OPTIONS, overrides=overrides, analyses=analyses, excluded=excluded).merged
     return merged.select("index", "email", "name", "has_real_reply", "responder", "admission_intent", "action_required", "confidence", "needs_review")
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as archives of 8-bit messages, in the narrowest of two charsets, and read again."""
+    rows = _messages(spark, sf_dir)
+    narrow = ~F.col("body_text").rlike(r"[^\x00-\xff]")
+    charset = F.when(narrow, "iso-8859-1").otherwise("utf-8")
+    month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.substring("date", 6, 2).cast("int"))
+    date = F.concat(F.substring("date", 9, 2), F.lit(" "), month, F.lit(" 2024 "), F.substring("date", 12, 8), F.lit(" +0000"))
+    head = F.concat(F.lit("Message-ID: "), F.col("id").cast("string"), F.lit("\nDate: "), date, F.lit("\nContent-Type: text/plain; charset="), charset, F.lit("\nContent-Transfer-Encoding: 8bit\n\n"))
+    body = F.when(narrow, F.encode("body_text", "ISO-8859-1")).otherwise(F.encode("body_text", "UTF-8"))
+    place = _place(spark, "mail")
+    archive.write_archive(rows.select(F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\n"), "UTF-8")).alias("content")), place, rangeBytes=1 << 18)
+    return archive.read_archive(spark, place)
+
+
+def archive_bodies(spark, sf_dir):
+    parsed = mime.parse_messages(_archived(spark, sf_dir).select(F.concat_ws("#", "file", "uid").alias("path"), "content"))
+    return parsed.select(F.col("message_id").cast("long").alias("id"), F.sha2(F.col("body_text").cast("binary"), 256).alias("body_hash"))
+
+
+def archive_of_a_month(spark, sf_dir):
+    """The dates choose ranges of the files."""
+    rows = _archived(spark, sf_dir).filter((F.col("sent_at") >= F.lit("2024-03-01").cast("timestamp")) & (F.col("sent_at") < F.lit("2024-04-01").cast("timestamp")))
+    return rows.select(F.regexp_extract(F.decode(F.substring("content", 1, 60), "ISO-8859-1"), r"Message-ID: (\d+)", 1).cast("long").alias("id"), F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("sent"))
+
+
+def keyed_changes(spark, sf_dir):
+    """Customers as a stored table: new and known keys, columns left alone, an update, a deletion."""
+    table = KeyedTable(spark, _place(spark, "people"), "k long, name string, segment string, orders long, last date", ["k"], ranged("k", size=256))
+    people, orders = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
+    table.upsert(people.filter("c_custkey % 3 > 0").select(F.col("c_custkey").cast("long").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))
+    table.upsert(orders.groupBy(F.col("o_custkey").cast("long").alias("k")).agg(F.count("*").alias("orders"), F.max("o_orderdate").cast("date").alias("last"), F.lit("from orders").alias("name")), only=["orders", "last"])
+    table.update(people.filter("c_nationkey = 5").select(F.col("c_custkey").cast("long").alias("k")), segment=F.lower("segment"), orders=F.coalesce("orders", F.lit(0)) + 1)
+    table.delete(people.filter("c_acctbal < 0").select(F.col("c_custkey").cast("long").alias("k")))
+    return table.read()
+
+
+def clear_account(spark, sf_dir):
+    """What is left of people and their messages when the analysis of one account is cleared."""
+    people = KeyedTable(spark, _place(spark, "people"), "k long, account_id long", ["k"], ranged("k", size=256))
+    links = KeyedTable(spark, _place(spark, "links"), "id long, person long", ["id"], ranged("id", size=4096))
+    people.upsert(_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.col("c_nationkey").cast("long").alias("account_id")))
+    links.upsert(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("person")))
+    clear_analysis(spark, 3, {links: (people, "person", "k")})
+    return people.read().select(F.lit("person").alias("kind"), F.col("k").alias("id")).unionByName(links.read().select(F.lit("link").alias("kind"), "id"))
+
+
+def sync_epochs(spark, sf_dir):
+    """Events as messages of five folders that arrive in two runs; folder 2 begins a new epoch in the first of them."""
+    schema = "account_id long, folder_id long, listed long, uidvalidity long, uid long, body string"
+    folder, odd = F.col("user_id") % 5, F.col("event_id") % 2 == 1
+    events = _table(spark, sf_dir, "events").select(F.lit(1).cast("long").alias("account_id"), folder.cast("long").alias("folder_id"), F.when(odd, 2).otherwise(1).cast("long").alias("listed"), F.when((folder == 2) & odd, 8).otherwise(7).cast("long").alias("uidvalidity"), F.col("event_id").cast("long").alias("uid"), F.col("event_type").alias("body"))
+    landing, checkpoint = _place(spark, "landing"), _place(spark, "sync")
+    messages, marks = state.message_table(spark, _place(spark, "messages"), schema), state.mark_table(spark, _place(spark, "marks"))
+    for rows in (events.filter("uid % 3 > 0"), events):  # the second run lists all again
+        rows.write.mode("append").parquet(landing)
+        state.run_sync(spark.readStream.schema(schema).parquet(landing), messages, marks, checkpoint).awaitTermination()
+    return state.current(messages, marks).select("folder_id", "uidvalidity", "uid", "body")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrmail.sources.archive import read_archive
 from corrmail.sources.schema import ALIAS
 
 
@@ -18,11 +19,8 @@ def read_message_files(spark: SparkSession, path: str, pattern: str = "*.eml") -
 
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the messages in mbox files, split at their From lines by the text reader."""
-    rows = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    body = F.regexp_replace(F.regexp_replace("value", r"^(From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
-    key = F.concat_ws("#", "file", "block", F.substring(F.sha2("value", 256), 1, 16))
-    return rows.filter("trim(value) != ''").select(key.alias("path"), body.cast("binary").alias("content"))
+    """(path, content) of the messages in mbox files; the path ends in the place of the message in its file."""
+    return read_archive(spark, path).select(F.concat_ws("#", "file", F.col("uid").cast("string")).alias("path"), "content")
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:

@@ -29,8 +29,11 @@ def new_rows(incoming: DataFrame, state: DataFrame, keys: tuple[str, ...] = ("ac
 
 
 def next_state(rows: DataFrame, state: DataFrame, keys: tuple[str, ...] = ("account_id", "folder_id")) -> DataFrame:
-    """The state after ``rows`` (as from new_rows) were stored: the largest uid of each folder's newest epoch."""
-    got = rows.groupBy(*keys).agg(F.max_by("uidvalidity", "uid").alias("uidvalidity"), F.max("uid").alias("last_sync_uid"))
+    """The state after ``rows`` (as from new_rows) were stored: the largest uid of each folder's newest epoch.
+
+    Epochs only grow; ``streaming.state`` also takes a source whose epochs fall.
+    """
+    got = rows.groupBy(*keys).agg(F.max(F.struct("uidvalidity", "uid")).alias("top")).select(*keys, "top.uidvalidity", F.col("top.uid").alias("last_sync_uid"))
     kept = state.select(*keys, "uidvalidity", "last_sync_uid").join(got.select(*keys), list(keys), "left_anti")
     return kept.unionByName(got)
 
@@ -40,29 +43,37 @@ def current_rows(stored: DataFrame, state: DataFrame, keys: tuple[str, ...] = ("
     return stored.join(state.select(*keys, "uidvalidity"), [*keys, "uidvalidity"], "left_semi")
 
 
-def store_batch(batch: DataFrame, path: str, keys: tuple[str, ...] = KEY) -> None:
-    """Append the rows of a batch that the table does not have; running a batch twice adds nothing."""
-    spark = batch.sparkSession
-    once = batch.dropDuplicates(list(keys))
-    try:
-        known = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        known = once.select(*keys).limit(0)
-    once.join(known, list(keys), "left_anti").write.mode("append").parquet(path)
+def store_batch(batch: DataFrame, path: str, stream: str, number: int, keys: tuple[str, ...] = KEY) -> None:
+    """Store a batch of a stream in a folder of its own: a batch that runs again replaces what it wrote.
+
+    Nothing stored is read, so the cost follows the batch and not the table.
+    """
+    batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={number}")
+
+
+def stored(spark: SparkSession, path: str, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Rows of all batches; a row that two streams stored (one began anew without its checkpoint) counts once."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return rows.dropDuplicates([k for k in keys if k in rows.columns])
 
 
-def sync_folder(spark: SparkSession, landing: str, table: str, errors: str, checkpoint: str, owner: str, account_id: int = 1, folder_id: int = 1) -> StreamingQuery:
-    """Parse message files that have landed since the last run and store them; ends when all are taken."""
+def sync_folder(spark: SparkSession, landing: str, table: str, errors: str, checkpoint: str, owner: str, account_id: int = 1, folder_id: int = 1, done: list[int] | None = None) -> StreamingQuery:
+    """Parse message files that have landed since the last run and store them; ends when all are taken.
+
+    Numbers of the batches that were stored go to ``done``.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(landing)
+    stream = f"{account_id}-{folder_id}"
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
         parsed = parse_messages(batch).persist()  # each file is parsed once
-        store_batch(as_messages(parsed, owner, account_id, folder_id), table)
-        quarantine(parsed).withColumn("account_id", F.lit(account_id).cast("long")).withColumn("folder_id", F.lit(folder_id).cast("long")).write.mode("append").parquet(errors)
+        store_batch(as_messages(parsed, owner, account_id, folder_id), table, stream, number)
+        bad = quarantine(parsed).withColumn("account_id", F.lit(account_id).cast("long")).withColumn("folder_id", F.lit(folder_id).cast("long"))
+        store_batch(bad, errors, stream, number, ("account_id", "folder_id", "path"))
         parsed.unpersist()
+        if done is not None:
+            done.append(number)
 
     return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -70,13 +81,9 @@ def sync_folder(spark: SparkSession, landing: str, table: str, errors: str, chec
 RUNS = "run_id string, account_id long, started_at timestamp, ended_at timestamp, status string, folders long, stored long, errors long"
 
 
-def _rows_of(spark: SparkSession, path: str, folder: int, account_id: int) -> int:
-    try:
-        return spark.read.parquet(path).filter((F.col("folder_id") == folder) & (F.col("account_id") == account_id)).count()
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return 0
+def _rows_of(spark: SparkSession, path: str, stream: str, batches: list[int]) -> int:
+    """Rows of some batches of a stream, from the footers of their files."""
+    return spark.read.parquet(*[f"{path}/stream={stream}/batch={n}" for n in batches]).count() if batches else 0
 
 
 def sync_folders(spark: SparkSession, folders: dict[int, str], base: str, owner: str, account_id: int = 1, cancelled: Callable[[], bool] = lambda: False) -> dict:
@@ -90,15 +97,14 @@ def sync_folders(spark: SparkSession, folders: dict[int, str], base: str, owner:
         if cancelled():
             status = "cancelled"
             break
-        count = lambda: [_rows_of(spark, f"{base}/{t}", folder, account_id) for t in ("messages", "errors")]  # noqa: E731, B023
-        before = count()
+        done: list[int] = []
         try:
-            sync_folder(spark, landing, f"{base}/messages", f"{base}/errors", f"{base}/state/{account_id}-{folder}", owner, account_id, folder).awaitTermination()
+            sync_folder(spark, landing, f"{base}/messages", f"{base}/errors", f"{base}/state/{account_id}-{folder}", owner, account_id, folder, done).awaitTermination()
             failed = 0
         except StreamingQueryException:
             failed = 1
-        after = count()
-        details.append({"folder": folder, "stored": after[0] - before[0], "errors": after[1] - before[1] + failed})
+        got = {t: _rows_of(spark, f"{base}/{t}", f"{account_id}-{folder}", done) for t in ("messages", "errors")}
+        details.append({"folder": folder, "stored": got["messages"], "errors": got["errors"] + failed})
     run = {"run_id": uuid.uuid4().hex, "status": status, "folders": len(folders), **{k: sum(d[k] for d in details) for k in ("stored", "errors")}}
     row = (run["run_id"], account_id, started, datetime.now(), status, run["folders"], run["stored"], run["errors"])
     spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(f"{base}/runs")
