@@ -15,6 +15,8 @@ from corrmail.operators.graph import checkpointed, components
 
 #: Salutations that name somebody, and texts of review reasons.
 SALUTATIONS = (r"(?U)尊敬的\s*(\w{1,4})\s*(教授|老师|导师|研究员|博导)", r"(?U)(\w{1,4})\s*(教授|老师|导师|研究员|博导)\s*(?:您好|你好)")
+#: Characters of a body that are looked at.
+READ = 800
 NO_NAME, NO_INSTITUTION = "无法确认导师姓名", "无法确认所属单位"
 SAME_PLACE, OTHER_PLACE = "同姓名同单位，可能是同一导师使用多个邮箱", "同姓名但不同单位，可能是不同导师"
 
@@ -83,7 +85,7 @@ def correspondents(contacts: DataFrame, domains: dict[str, str] | None = None) -
     """One row per recipient: name, institution, dates, count, confidence and reasons to review."""
     key = F.struct("date", "id")
     to_name, greeting = name_in_recipients(F.col("to_text"), F.col("email")), name_in_salutation(F.col("body_text"))
-    text = F.concat_ws(" ", F.coalesce("subject", F.lit("")), F.substring(F.coalesce("body_text", F.lit("")), 1, 800))
+    text = F.concat_ws(" ", F.coalesce("subject", F.lit("")), F.substring(F.coalesce("body_text", F.lit("")), 1, READ))
     rows = contacts.select("email", "id", F.coalesce("date", F.lit("")).alias("date"), to_name.alias("n1"), greeting.alias("n2"), institution_in_text(text).alias("place"))
     first_of = lambda c, holds: F.min_by(c, F.when(holds, key))
     sums = rows.groupBy("email").agg(

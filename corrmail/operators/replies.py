@@ -4,34 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corrmail.functions import lexicon as L
 from corrmail.functions.text import is_own_reply, letter_jaccard, letters_of, normalize_subject
 from corrmail.operators.entities import recipients
+from corrmail.operators.graph import checkpointed
 
 SIMILAR = 0.6
 REASONS = ("thread", "in_reply_to", "references", "subject")
 
 
 def sent_to(people: DataFrame, links: DataFrame, messages: DataFrame) -> DataFrame:
-    """(email, sent message): linked messages; for people without any, all sent messages that name their address."""
-    sent = messages.filter("is_sent_by_me")
+    """(email, id, message_id, subject): linked messages; for people without any, all sent messages that name their address."""
+    sent = messages.filter("is_sent_by_me").select("id", "message_id", "subject", "to_text")
     linked = links.select("email", "id").distinct().join(sent, "id")
     rest = people.select("email").join(links.select("email"), "email", "left_anti")
     named = sent.withColumn("email", F.explode(F.array_distinct(recipients(F.col("to_text"))))).join(rest, "email", "left_semi")
-    return linked.unionByName(named)
+    return linked.unionByName(named).drop("to_text")
 
 
 def detect_replies(people: DataFrame, sent: DataFrame, messages: DataFrame, threads: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
     """(email, id, reason, is_auto) of received messages that answer somebody's outreach.
 
-    ``addresses`` (email, address) lists more addresses of a person.  With ``threads`` (id, thread_id), messages in a
-    thread of a sent one count whatever their sender.  Automatic replies are reported but are not replies.
+    ``addresses`` (email, address) lists more addresses of a person; with ``since`` (date, id), only messages after
+    that one count by the address.  With ``threads`` (id, thread_id), messages in a thread of a sent one count
+    whatever their sender.  Automatic replies are reported but are not replies.
     """
-    own = people.select("email", F.col("email").alias("address"))
-    known = own if addresses is None else own.unionByName(addresses.select("email", "address")).distinct()
+    at = F.struct(F.coalesce("date", F.lit("")).alias("date"), "id")
+    own = people.select("email", F.col("email").alias("address"), F.lit(None).cast("struct<date: string, id: long>").alias("since"))
+    known = own
+    if addresses is not None:
+        since = F.col("since") if "since" in addresses.columns else F.lit(None).cast("struct<date: string, id: long>").alias("since")
+        known = own.unionByName(addresses.select("email", "address", since))
     received = messages.filter("not is_sent_by_me and not is_bounce")
-    by_address = known.join(received.withColumn("address", F.lower("from_email")), "address").drop("address").withColumn("mate", F.lit(False))
+    by_address = known.join(received.withColumn("address", F.lower("from_email")), "address").filter(F.col("since").isNull() | (at > F.col("since")))
+    by_address = by_address.drop("address", "since").dropDuplicates(["email", "id"]).withColumn("mate", F.lit(False))
     if threads is not None:
         mates = sent.select("email", "id").join(threads, "id").select("email", "thread_id").distinct()
         in_thread = received.join(threads.select("id", "thread_id"), "id").join(mates, "thread_id").drop("thread_id").withColumn("mate", F.lit(True))
@@ -55,9 +63,42 @@ def detect_replies(people: DataFrame, sent: DataFrame, messages: DataFrame, thre
 
 
 def other_addresses(replies: DataFrame, messages: DataFrame) -> DataFrame:
-    """(email, address) of senders who answered for somebody from another address; feed back for a second pass."""
-    rows = replies.filter("not is_auto").join(messages.select("id", F.lower("from_email").alias("address")), "id")
-    return rows.filter("address != email and address != ''").select("email", "address").distinct()
+    """(email, address, since) of senders who answered for somebody from another address, with their first such message."""
+    at = F.struct(F.coalesce("date", F.lit("")).alias("date"), "id")
+    rows = replies.filter("not is_auto").join(messages.select("id", at.alias("at"), F.lower("from_email").alias("address")), "id")
+    return rows.filter("address != email and address != ''").groupBy("email", "address").agg(F.min("at").alias("since"))
+
+
+def detect_with_addresses(people: DataFrame, sent: DataFrame, messages: DataFrame, threads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The replies, and the addresses (email, address, since) that people were found to answer from.
+
+    An address that answers within a thread belongs to the person from that message on: what it sends later counts by
+    address too.  Each round looks only at the addresses that the last one found, until none is new; an address whose
+    first message turns out to be earlier counts as new.
+    """
+    columns = ["email", "id", "reason", "is_auto"]
+    found = checkpointed(detect_replies(people, sent, messages, threads).select(*columns))
+    known = checkpointed(other_addresses(found, messages))
+    fresh = known
+    while not fresh.isEmpty():
+        some = people.join(fresh.select("email").distinct(), "email", "left_semi")
+        mine = sent.join(some.select("email"), "email", "left_semi")
+        more = detect_replies(some, mine, messages, None, fresh).select(*columns)
+        rank = F.when(F.col("reason") == "", len(REASONS)).otherwise(F.array_position(F.array(*[F.lit(r) for r in REASONS]), "reason") - 1)
+        best = found.unionByName(more).groupBy("email", "id").agg(F.min_by(F.struct("reason", "is_auto"), rank).alias("r"))
+        found = checkpointed(best.select("email", "id", "r.reason", "r.is_auto"))
+        now = checkpointed(other_addresses(found, messages))
+        old = known.select("email", "address", F.col("since").alias("_since"))
+        fresh = now.join(old, ["email", "address"], "left").filter(F.col("_since").isNull() | (F.col("since") < F.col("_since"))).drop("_since")
+        known = now
+    return found, known
+
+
+def all_addresses(people: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(email, seq, address): a person's own address first, then those found, in the order of their first messages."""
+    nth = F.row_number().over(Window.partitionBy("email").orderBy("since", "address"))
+    found = addresses.select("email", nth.cast("long").alias("seq"), "address")
+    return people.select("email", F.lit(0).cast("long").alias("seq"), F.col("email").alias("address")).unionByName(found)
 
 
 def reply_status(people: DataFrame, sent: DataFrame, replies: DataFrame, messages: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

@@ -7,18 +7,19 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corrmail.functions import lexicon as L
 from corrmail.operators import contacts, entities, merge, replies, rules, threads
-from corrmail.operators.graph import checkpointed
+from corrmail.operators.graph import stored
 
 
 @dataclass(frozen=True)
 class Options:
     """Word lists and choices of an analysis.
 
-    ``use_threads``: thread membership relates a reply to outreach, and senders found so are searched in a second
-    pass.  ``owner``: the owner's address, which then does not tie threads together.
+    ``use_threads``: thread membership relates a reply to outreach, and the addresses found so belong to the person
+    from then on.  ``owner``: the owner's address, which then does not tie threads together.
     """
 
     subject_words: Sequence[str] = L.SUBJECT_KEYWORDS
@@ -32,13 +33,13 @@ class Options:
 class Analysis:
     """Steps over message rows, each built when it is asked for.
 
-    What several steps read (messages, outreach, people, sent messages, replies) is checkpointed: it runs once, later plans stay
-    short, and a lost executor loses nothing.  ``overrides`` and ``analyses`` are logs; the
+    What several steps read (messages, outreach, people, sent messages, replies) is stored: it runs once, later plans stay
+    short, and a lost executor loses nothing.  Of a message to many, each recipient's row has the start of the body only.  ``overrides`` and ``analyses`` are logs; the
     newest entry of a field counts.
     """
 
     def __init__(self, messages: DataFrame, options: Options = Options(), overrides: DataFrame | None = None, analyses: DataFrame | None = None, excluded: DataFrame | None = None) -> None:
-        self.messages = checkpointed(messages.drop("body_html_text"))  # each step reads them
+        self.messages = stored(messages.drop("body_html_text"))  # each step reads them
         self.options, self.analyses, self.excluded = options, analyses, excluded
         self.overrides = None if overrides is None else merge.override_pivot(overrides)
 
@@ -48,11 +49,12 @@ class Analysis:
 
     @cached_property
     def outreach(self) -> DataFrame:
-        return checkpointed(entities.contacts_by_recipient(self.scored))
+        body = F.substring(F.coalesce("body_text", F.lit("")), 1, entities.READ).alias("body_text")
+        return stored(entities.contacts_by_recipient(self.scored).select("email", "id", "date", "to_text", "subject", body))
 
     @cached_property
     def people(self) -> DataFrame:
-        return checkpointed(entities.correspondents(self.outreach, self.options.domains))
+        return stored(entities.correspondents(self.outreach, self.options.domains))
 
     @cached_property
     def roles(self) -> DataFrame:
@@ -60,25 +62,33 @@ class Analysis:
 
     @cached_property
     def sent(self) -> DataFrame:
-        return checkpointed(replies.sent_to(self.people, self.roles, self.messages))
+        return stored(replies.sent_to(self.people, self.roles, self.messages))
 
     @cached_property
-    def replies(self) -> DataFrame:
+    def _detected(self) -> tuple[DataFrame, DataFrame | None]:
         if not self.options.use_threads:
-            return checkpointed(replies.detect_replies(self.people, self.sent, self.messages))
-        tree = checkpointed(threads.build_threads(self.messages, self.options.owner))
-        found = replies.detect_replies(self.people, self.sent, self.messages, tree)
-        more = checkpointed(replies.other_addresses(found, self.messages))
-        return checkpointed(replies.detect_replies(self.people, self.sent, self.messages, tree, more))
+            return stored(replies.detect_replies(self.people, self.sent, self.messages)), None
+        tree = stored(threads.build_threads(self.messages, self.options.owner))
+        return replies.detect_with_addresses(self.people, self.sent, self.messages, tree)
+
+    @property
+    def replies(self) -> DataFrame:
+        return self._detected[0]
+
+    @property
+    def addresses(self) -> DataFrame | None:
+        """(email, seq, address) of each person, if threads may tell."""
+        found = self._detected[1]
+        return None if found is None else replies.all_addresses(self.people, found)
 
     @cached_property
     def status(self) -> DataFrame:
         forced = None if self.overrides is None else self.overrides.selectExpr("email", "status as value").filter("value is not null")
-        return checkpointed(replies.reply_status(self.people, self.sent, self.replies, self.messages, forced))
+        return stored(replies.reply_status(self.people, self.sent, self.replies, self.messages, forced))
 
     @cached_property
     def my_status(self) -> DataFrame:
-        return checkpointed(replies.my_reply_status(self.people, self.replies, self.messages))
+        return stored(replies.my_reply_status(self.people, self.replies, self.messages))
 
     @cached_property
     def ruled(self) -> DataFrame:
@@ -86,7 +96,7 @@ class Analysis:
 
     def _merged(self, index: bool) -> DataFrame:
         latest = None if self.analyses is None else merge.latest_analysis(self.analyses)
-        return merge.merged_table(self.people, self.status, self.my_status, self.ruled, latest, self.overrides, excluded=self.excluded, index=index)
+        return merge.merged_table(self.people, self.status, self.my_status, self.ruled, latest, self.overrides, emails=self.addresses, excluded=self.excluded, index=index)
 
     @cached_property
     def merged(self) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corrmail.functions import lexicon as L
-from corrmail.plans.oracles import _BODY_WORDS, _MERGED, _PEOPLE, _SCORE, _SUBJECT_WORDS, _TABLES, _any, _count, _q, _strip, _with
+from corrmail.plans.oracles import _BODY_WORDS, _MERGED, _PEOPLE, _SCORE, _SUBJECT_WORDS, _TABLES, _any, _count, _jaccard, _letters, _q, _strip, _with
 
 _PAGE = "'Hello ' || id || chr(10) || 'Bye & co'"
 _MAIL = f"""
@@ -36,7 +36,7 @@ final as (select email, case when k % 6 = 0 then 'Newer ' || k when k % 3 = 0 th
 
 
 def _mail(rest: str, *more: str) -> str:
-    return _with(rest, _MAIL, *more)
+    return _with(rest, _MAIL, *more).replace("with ", "with recursive ", 1)
 
 
 _POINTS = f"""
@@ -86,4 +86,36 @@ ORACLES: dict[str, str] = {
         select 'link', o_orderkey::bigint from orders where not exists (select 1 from customer where c_custkey = o_custkey and c_nationkey = 3)
     """,
     "sync_epochs": "select (user_id % 5)::bigint as folder_id, case when user_id % 5 = 2 then 8 else 7 end::bigint as uidvalidity, event_id::bigint as uid, event_type as body from events where user_id % 5 <> 2 or event_id % 2 = 1",
+    "mail_joined_addresses": _mail(
+        """
+        select email, email || coalesce('; ' || others, '') as emails, coalesce(n, 0) as n_replies from (select distinct person as email from mail where own)
+        left join (select email, string_agg(address, '; ' order by first, address) as others from found where first is not null group by 1) using (email)
+        left join (select email, count(distinct id) as n from (select email, id from mates where not auto union all select email, id from later where not auto) group by 1) using (email)
+        """,
+        f"""
+        mates as (select distinct o.person as email, r.id, r.sender, r.sent_at, r.auto from mail o join mail r on o.own and not r.own and not r.bounce and r.conv_id = o.conv_id),
+        found as (select email, sender as address, min((sent_at, id)) as first from mates where not auto and sender <> email group by 1, 2
+            union all select distinct person, person, null from mail where own),
+        later as (select a.email, r.id, r.auto from found a join mail r on r.sender = a.address and not r.own and not r.bounce and (a.first is null or (r.sent_at, r.id) > a.first)
+            where exists (select 1 from mail s where s.own and s.person = a.email and (r.irt = s.message_id or list_contains(string_split(r.refs, ','), s.message_id)
+                or (s.norm <> '' and r.norm <> '' and (s.norm = r.norm or {_jaccard(_letters("s.norm"), _letters("r.norm"))} >= 0.6)))))
+        """,
+    ),
+    "mail_match_methods": _mail(
+        """
+        select id, coalesce(m, '') as match_method from mail left join (
+            select id, arg_min(method, w) as m from (select unnest([a, b]) as id, method, w from edge where not exists (select 1 from reach where reach.w = edge.w and reach.node = edge.b)) group by 1) using (id)
+        """,
+        """
+        cited as (select id, conv_id, sent_at, 0 as slot, irt as ref, 'in_reply_to' as method from mail where irt <> ''
+            union all select id, conv_id, sent_at, i, split_part(refs, ',', i::int), 'references' from mail, unnest(range(1, 3)) as u(i) where split_part(refs, ',', i::int) <> ''),
+        edge as (select c.id as a, t.id as b, c.conv_id, c.method, row_number() over (order by c.sent_at, c.id, c.slot) as w from cited c join mail t on t.message_id = c.ref where t.id <> c.id),
+        reach as (select w, conv_id, a as node from edge union
+            select reach.w, reach.conv_id, case when edge.a = reach.node then edge.b else edge.a end from reach join edge on edge.conv_id = reach.conv_id and edge.w < reach.w and reach.node in (edge.a, edge.b))
+        """,
+    ),
+    "arriving_threads": _mail("select id, conv_id * 100 + 1 as thread_id from mail"),
+    "json_file": _with('select count(*) over () as correspondent_count, "index", email, name, email as emails, send_count, has_real_reply, admission_intent, action_required, confidence from merged', _SCORE, _PEOPLE, _TABLES, _MERGED),
+    "csv_file": _with("""select "index", email as emails, nullif(name, '') as name, nullif(institution, '') as institution, send_count::varchar as send_count, has_real_reply, admission_intent, case when needs_review then '是' else '否' end as needs_review from merged""", _SCORE, _PEOPLE, _TABLES, _MERGED),
+    "model_answers": "select p_partkey::varchar as email, 'no. ' || p_partkey as summary, (p_partkey % 10) / 10.0 as confidence from part where p_partkey % 3 <> 0",
 }

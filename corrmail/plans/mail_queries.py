@@ -12,8 +12,8 @@ from corrmail.functions import privacy, text
 from corrmail.operators import contacts, entities, folders, merge, replies, threads
 from corrmail.plans.analysis import analyze
 from corrmail.plans.queries import BODY_WORDS, OPTIONS, SUBJECT_WORDS, _analysis, _messages, _table
-from corrmail.operators.graph import shared_folder
-from corrmail.sources import archive, mailbox, mime
+from corrmail.operators.graph import checkpointed, shared_folder
+from corrmail.sources import archive, document, enrich, mailbox, mime, sinks
 from corrmail.sources.adapters import MONTHS, OWNER, conversations_as_files
 from corrmail.sources.tables import KeyedTable, clear_analysis, ranged
 from corrmail.streaming import state
@@ -78,7 +78,29 @@ def mail_other_addresses(spark, sf_dir):
     mail = _mail(spark, sf_dir)
     people, _, sent = _outreach(mail)
     tree = threads.build_threads(mail, use_subject=False)
-    return replies.other_addresses(replies.detect_replies(people, sent, mail, tree), mail)
+    return replies.other_addresses(replies.detect_replies(people, sent, mail, tree), mail).select("email", "address")
+
+
+def mail_joined_addresses(spark, sf_dir):
+    """The addresses of each person, and how many messages answer for them once all addresses are known."""
+    mail = checkpointed(_mail(spark, sf_dir))  # each round reads it
+    people, _, sent = _outreach(mail)
+    found, known = replies.detect_with_addresses(people, sent, mail, threads.build_threads(mail, use_subject=False))
+    every = replies.all_addresses(people, known).groupBy("email").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "address"))), lambda x: x.address), "; ").alias("emails"))
+    return every.join(found.filter("not is_auto").groupBy("email").agg(F.count("*").alias("n_replies")), "email", "left").fillna(0, ["n_replies"])
+
+
+def mail_match_methods(spark, sf_dir):
+    return threads.build_threads(_mail(spark, sf_dir), use_subject=False).select("id", "match_method")
+
+
+def arriving_threads(spark, sf_dir):
+    """Threads of two thirds of the mail, extended when the last third arrives."""
+    mail = checkpointed(_mail(spark, sf_dir))
+    stored, new = mail.filter("id % 3 > 0"), mail.filter("id % 3 = 0")
+    tree = threads.build_threads(stored, use_subject=False).select("id", "thread_id")
+    changed = threads.extended_threads(tree, stored, new, use_subject=False)
+    return tree.join(changed, "id", "left_anti").unionByName(changed)
 
 
 def recipient_names(spark, sf_dir):
@@ -220,3 +242,35 @@ def sync_epochs(spark, sf_dir):
         rows.write.mode("append").parquet(landing)
         state.run_sync(spark.readStream.schema(schema).parquet(landing), messages, marks, checkpoint).awaitTermination()
     return state.current(messages, marks).select("folder_id", "uidvalidity", "uid", "body")
+
+
+def json_file(spark, sf_dir):
+    """The analysis as one JSON document, read back."""
+    found, place = _analysis(spark, sf_dir), _place(spark, "export") + ".json"
+    document.write_json_file(found.merged, found.statistics, place)
+    whole = spark.read.option("multiLine", "true").json(place)
+    rows = whole.select("stats.correspondent_count", F.explode("teachers").alias("t"))
+    return rows.select("correspondent_count", "t.index", "t.email", "t.name", "t.emails", "t.send_count", "t.has_real_reply", "t.admission_intent", "t.action_required", "t.confidence")
+
+
+def csv_file(spark, sf_dir):
+    """The analysis as one CSV file, read back in its order."""
+    frame, place = sinks.export_frame(_analysis(spark, sf_dir).merged, labels=False), _place(spark, "export") + ".csv"
+    document.write_csv_file(frame, place, order="index")
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(place)
+    return rows.select(F.col("index").cast("long").alias("index"), "emails", "name", "institution", "send_count", "has_real_reply", "admission_intent", "needs_review")
+
+
+def model_answers(spark, sf_dir):
+    """A model that fails on every third text, asked in two runs; the second has answers for half of the rest."""
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("email"), F.concat(F.lit("part "), F.col("p_partkey").cast("string"), F.lit(": "), F.col("p_name")).alias("bundle"))
+
+    def model(texts):
+        numbers = texts.str.extract(r"part (\d+)")[0].astype(int)
+        if (numbers % 3 == 0).any():
+            raise RuntimeError("no answer")
+        return '{"reply_summary": "no. ' + numbers.astype(str) + '", "confidence": 0.' + (numbers % 10).astype(str) + "}"
+
+    answers = enrich.answer_table(spark, _place(spark, "answers"))
+    enrich.analyze_with_model(rows.filter("email % 2 = 0"), model, answers=answers, tries=1)
+    return enrich.analyze_with_model(rows, model, answers=answers, tries=1).select("email", "summary", "confidence")

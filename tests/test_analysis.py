@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import csv
 import io
 import json
 import zipfile
+from collections import Counter
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -11,7 +13,7 @@ import pytest
 from corrmail.functions import lexicon as L
 from corrmail.operators import entities, merge, replies, threads
 from corrmail.plans.analysis import Options, analyze
-from corrmail.sources import enrich, sinks
+from corrmail.sources import document, enrich, sinks
 
 ME = "student@mail.cn"
 COLUMNS = "id long, message_id string, in_reply_to string, `references` array<string>, date string, subject string, from_email string, from_name string, to_text string, body_text string, is_sent_by_me boolean, is_auto_reply boolean, is_bounce boolean"
@@ -120,6 +122,10 @@ def test_other_addresses_through_threads(spark, messages):
     assert plain["wang@pku.edu.cn"] == L.NO
     found = analyze(both, Options(use_threads=True, owner=ME))
     assert {r.email: r.n_replies for r in found.status.collect()}["wang@pku.edu.cn"] == 2
+    assert {r.email: r.emails for r in found.merged.collect()}["wang@pku.edu.cn"] == "wang@pku.edu.cn; assistant@lab.cn"
+    # what the address sent before it was known does not count by the address
+    early = both.withColumn("date", F.when(F.col("id") == 12, "2024-05-01").otherwise(F.col("date")))
+    assert {r.email: r.n_replies for r in analyze(early, Options(use_threads=True, owner=ME)).status.collect()}["wang@pku.edu.cn"] == 1
 
 
 def test_overrides_and_model(spark, messages):
@@ -160,6 +166,47 @@ def test_exports(result, tmp_path):
     assert "xl/worksheets/sheet1.xml" in zipfile.ZipFile(tmp_path / "x.xlsx").namelist()
 
 
+def test_single_files(spark, result, tmp_path):
+    path = str(tmp_path / "all.csv")
+    odd = spark.createDataFrame([(3, 'say "x", y', None), (1, "line\nbreak", "é"), (2, "plain", "")], "index long, a string, b string").repartition(3)
+    document.write_csv_file(odd, path, order="index")
+    raw = (tmp_path / "all.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbf") and raw.count(b"\xef\xbb\xbf") == 1
+    assert list(csv.reader(io.StringIO(raw.decode("utf-8-sig"), newline=""))) == [["index", "a", "b"], ["1", "line\nbreak", "é"], ["2", "plain", ""], ["3", 'say "x", y', ""]]
+    path = tmp_path / "all.json"
+    document.write_json_file(result.merged, result.statistics, str(path))
+    whole = json.loads(path.read_text(encoding="utf-8"))
+    assert list(whole) == ["export_time", "stats", "teachers"] and whole["stats"]["correspondent_count"] == 5
+    assert [t["index"] for t in whole["teachers"]] == [1, 2, 3, 4, 5] and set(whole["teachers"][0]) == set(result.merged.columns)
+    document.write_json_file(result.merged.limit(0), result.statistics, str(path))  # replaces the file
+    assert json.loads(path.read_text(encoding="utf-8"))["teachers"] == []
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["all.csv", "all.json"]
+
+
+def test_model_failures_cost_one_row_and_answers_are_kept(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+    rows = [(f"e{k}", f"text {k % 20}") for k in range(40)]
+    bundles = spark.createDataFrame(rows, "email string, bundle string").coalesce(1)
+
+    def model(texts):
+        with open(calls, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        if any(int(t.split()[1]) % 3 == 0 for t in texts):
+            raise RuntimeError("down")
+        return pd.Series(['{"reply_summary": "' + t + '", "confidence": 0.9}' for t in texts])
+
+    want = sorted((e, t) for e, t in rows if int(t.split()[1]) % 3)
+    table = enrich.answer_table(spark, str(tmp_path / "answers"))
+    assert sorted((r.email, r.summary) for r in enrich.analyze_with_model(bundles, model).collect()) == want
+    assert sorted((r.email, r.summary) for r in enrich.analyze_with_model(bundles, model, answers=table).collect()) == want
+    open(calls, "w").close()
+    assert sorted((r.email, r.summary) for r in enrich.analyze_with_model(bundles, model, answers=table).collect()) == want
+    with open(calls) as f:
+        asked = Counter(f.read().split("\n")[:-1])
+    assert asked and all(int(t.split()[1]) % 3 == 0 for t in asked)  # only what failed is asked again
+    assert {r.error for r in table.read().filter("error is not null").collect()} == {"RuntimeError: down"}
+
+
 def test_workbook_look():
     """Header cells have their own format, columns the width of their text within bounds; every part is well formed."""
     file = zipfile.ZipFile(io.BytesIO(sinks.workbook([("a<b", ["id", "text"], [(1, "x" * 20), (None, "y" * 99)]), ("none", ["id"], [])])))

@@ -113,3 +113,13 @@ def test_protocol_lines(spark):
     assert got.name == "Sent Messages" and got.flags == ["\\HasNoChildren", "\\Sent"]
     got = value(spark, mailbox.folder_status(F.col("l")), l='"INBOX" (MESSAGES 12 UIDNEXT 99 UIDVALIDITY 7)')
     assert (got.messages, got.uidvalidity, got.uidnext) == (12, 7, 99)
+
+
+def test_log_lines_hide_secrets():
+    import logging
+
+    from corrmail.functions.privacy import Redacted
+
+    record = logging.LogRecord("x", 20, "f", 1, "Password: x1 TOKEN=%s sk-ABCDEFGHIJKL 13812345678", ("y2",), None)
+    Redacted().filter(record)
+    assert record.getMessage() == "Password=***REDACTED*** TOKEN=***REDACTED*** ***API_KEY*** ***PHONE***"
