@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corrmail.functions import lexicon as L
-from corrmail.functions.text import is_own_reply, letter_jaccard, letters_of, normalize_subject
+from corrmail.functions.text import is_own_reply, normalize_subject
 from corrmail.operators.entities import recipients
 from corrmail.operators.graph import checkpointed
+from corrmail.operators.similar import similar_subjects
 
 SIMILAR = 0.6
 REASONS = ("thread", "in_reply_to", "references", "subject")
@@ -49,10 +50,10 @@ def detect_replies(people: DataFrame, sent: DataFrame, messages: DataFrame, thre
     ids = sent.filter("message_id != ''").select("email", F.col("message_id").alias("sent_id")).distinct()
     direct = by_address.join(ids, (by_address.email == ids.email) & (F.trim(by_address.in_reply_to) == ids.sent_id), "left_semi").select("email", "id", F.lit(2).alias("rank"))
     cited = by_address.select("email", "id", F.explode("references").alias("sent_id")).join(ids, ["email", "sent_id"], "left_semi").select("email", "id", F.lit(3).alias("rank"))
-    subjects = sent.groupBy("email").agg(F.collect_set(normalize_subject("subject")).alias("subjects"))
-    close = by_address.join(subjects, "email").withColumn("s", normalize_subject("subject"))
-    alike = F.exists("subjects", lambda x: (x != "") & ((x == F.col("s")) | (letter_jaccard(letters_of(x), letters_of(F.col("s"))) >= SIMILAR)))
-    close = close.filter((F.col("s") != "") & alike).select("email", "id", F.lit(4).alias("rank"))
+    asked = by_address.select("email", "id", normalize_subject("subject").alias("s1")).filter("s1 != ''")
+    given = sent.select("email", normalize_subject("subject").alias("s2")).filter("s2 != ''")
+    alike = similar_subjects(asked, given, "email", SIMILAR).select("email", "s1").distinct()
+    close = asked.join(alike, ["email", "s1"]).select("email", "id", F.lit(4).alias("rank"))
     mate = by_address.filter("mate").select("email", "id", F.lit(1).alias("rank"))
     ranked = mate.union(direct).union(cited).union(close).groupBy("email", "id").agg(F.min("rank").alias("rank"))
     auto = received.select("id", "is_auto_reply")
@@ -134,8 +135,8 @@ def unanswered(replies: DataFrame, messages: DataFrame) -> DataFrame:
     to_person = sent.select("sent_date", F.explode(F.array_distinct("to")).alias("email"), normalize_subject("sent_subject").alias("s2")).filter("s2 != ''")
     to_person = to_person.groupBy("email", "s2").agg(F.max("sent_date").alias("sent_date"), undated)
     asked = real.withColumn("s1", normalize_subject("subject")).filter("s1 != ''")
-    alike = (F.col("s1") == F.col("s2")) | (letter_jaccard(letters_of(F.col("s1")), letters_of(F.col("s2"))) >= SIMILAR)
-    pairs = asked.select("email", "s1").distinct().join(to_person, "email").filter(alike).groupBy("email", "s1").agg(F.max("sent_date").alias("sent_date"), F.max("undated").alias("undated"))
+    alike = similar_subjects(asked, to_person, "email", SIMILAR)
+    pairs = alike.join(to_person, ["email", "s2"]).groupBy("email", "s1").agg(F.max("sent_date").alias("sent_date"), F.max("undated").alias("undated"))
     by_subject = asked.join(pairs, ["email", "s1"]).filter(later | F.col("undated")).select("email", "id")
     answered = by_id.union(by_subject).distinct()
     return real.join(answered, ["email", "id"], "left_anti").select("email", "id", "date")
