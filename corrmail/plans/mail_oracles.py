@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corrmail.functions import lexicon as L
-from corrmail.plans.oracles import _BODY_WORDS, _MERGED, _PEOPLE, _SCORE, _SUBJECT_WORDS, _TABLES, _any, _count, _jaccard, _letters, _q, _strip, _with
+from corrmail.plans.oracles import _BODY_WORDS, _MERGED, _NEG, _PEOPLE, _POS, _SCORE, _SUBJECT_WORDS, _TABLES, _UNC, _any, _count, _intent, _jaccard, _letters, _q, _read_part, _strip, _with
 
 _PAGE = "'Hello ' || id || chr(10) || 'Bye & co'"
 _MAIL = f"""
@@ -118,4 +118,17 @@ ORACLES: dict[str, str] = {
     "json_file": _with('select count(*) over () as correspondent_count, "index", email, name, email as emails, send_count, has_real_reply, admission_intent, action_required, confidence from merged', _SCORE, _PEOPLE, _TABLES, _MERGED),
     "csv_file": _with("""select "index", email as emails, nullif(name, '') as name, nullif(institution, '') as institution, send_count::varchar as send_count, has_real_reply, admission_intent, case when needs_review then '是' else '否' end as needs_review from merged""", _SCORE, _PEOPLE, _TABLES, _MERGED),
     "model_answers": "select p_partkey::varchar as email, 'no. ' || p_partkey as summary, (p_partkey % 10) / 10.0 as confidence from part where p_partkey % 3 <> 0",
+    "indexed_search": "select (conv_id * 100 + turn)::bigint as id, role from conversations where contains(lower(concat_ws(' ', conv_id * 100 + turn, role, text)), 'tion a')",
+    "rule_summaries": _with(
+        f"""
+        select id, case when kind is not null then f.summary else left(t, 300) end as rule_summary,
+            case when kind is not null then '' else array_to_string(list_filter(s, lambda x: length(x) >= 4 and {_any("x", (*_POS, *_UNC, *_NEG))})[1:5], '|') end as evidence,
+            case when kind is not null then f.step else a.step end as rule_next_step
+        from (select *, {_intent("t")} as code, list_filter(list_transform(regexp_split_to_array(t, '[。！？\n;；.!?]+'), lambda x: {_strip("x")}), lambda x: x <> '') as s from
+            (select id, {_read_part("body")} as t, case when id % 5 = 0 then {_q(L.NO)} when id % 5 = 1 then {_q(L.UNSURE)} when id % 7 = 0 or {_strip("body")} = '' then 'blank' end as kind from m)) r
+        left join (values {", ".join(f"({_q(k)}, {_q(v[0])}, {_q(v[3])})" for k, v in L.FIXED_RESULTS.items())}) as f(kind2, summary, step) on f.kind2 = kind
+        join intents i on i.code = r.code join actions a on a.code = i.todo
+        """,
+        _TABLES,
+    ),
 }

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from corrmail.functions import lexicon as L
 from corrmail.functions import privacy, text
-from corrmail.operators import contacts, entities, folders, merge, replies, threads
+from corrmail.operators import contacts, entities, folders, merge, replies, rules, threads
 from corrmail.plans.analysis import analyze
-from corrmail.plans.queries import BODY_WORDS, OPTIONS, SUBJECT_WORDS, _analysis, _messages, _table
+from corrmail.plans.queries import BODY_WORDS, OPTIONS, RULES, SUBJECT_WORDS, _analysis, _messages, _table
 from corrmail.operators.graph import checkpointed, shared_folder
+from corrmail.operators.search import TextIndex
 from corrmail.sources import archive, document, enrich, mailbox, mime, sinks
 from corrmail.sources.adapters import MONTHS, OWNER, conversations_as_files
 from corrmail.sources.tables import KeyedTable, clear_analysis, ranged
@@ -274,3 +275,19 @@ def model_answers(spark, sf_dir):
     answers = enrich.answer_table(spark, _place(spark, "answers"))
     enrich.analyze_with_model(rows.filter("email % 2 = 0"), model, answers=answers, tries=1)
     return enrich.analyze_with_model(rows, model, answers=answers, tries=1).select("email", "summary", "confidence")
+
+
+def indexed_search(spark, sf_dir):
+    """Turns of conversations that say "tion a", found by posting lists."""
+    rows = _table(spark, sf_dir, "conversations")
+    rows = rows.select((F.col("conv_id") * 100 + F.col("turn")).cast("long").alias("id"), "role", "text")
+    index = TextIndex(spark, _place(spark, "postings"), "id", ("id", "role", "text"))
+    index.write(rows)
+    return index.search(rows, "Tion a").select("id", "role")
+
+
+def rule_summaries(spark, sf_dir):
+    """Summary and evidence of bodies of every kind: with a reply, doubtful, without one, blank."""
+    rows = _messages(spark, sf_dir).select("id", F.when(F.col("id") % 7 == 0, " \n").otherwise(F.col("body_text")).alias("reply_body"), F.when(F.col("id") % 5 == 0, L.NO).when(F.col("id") % 5 == 1, L.UNSURE).otherwise(L.YES).alias("status"), F.lit(L.NOT_REPLIED).alias("my_status"))
+    ruled = rules.classify(rows, rules=RULES)
+    return ruled.select("id", "rule_summary", F.array_join("rule_evidence", "|").alias("evidence"), "rule_next_step")
