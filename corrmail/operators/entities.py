@@ -15,6 +15,10 @@ from corrmail.operators.graph import checkpointed, components
 
 #: Salutations that name somebody, and texts of review reasons.
 SALUTATIONS = (r"(?U)尊敬的\s*(\w{1,4})\s*(教授|老师|导师|研究员|博导)", r"(?U)(\w{1,4})\s*(教授|老师|导师|研究员|博导)\s*(?:您好|你好)")
+#: A quoted name in a list of addresses; it may hold separators.
+QUOTED = r'"(?:[^"\\]|\\.)*"'
+#: Rows of a table of domains that go to every task; a longer one is joined without that.
+FEW_DOMAINS = 100_000
 #: Characters of a body that are looked at.
 READ = 800
 NO_NAME, NO_INSTITUTION = "无法确认导师姓名", "无法确认所属单位"
@@ -22,8 +26,8 @@ SAME_PLACE, OTHER_PLACE = "同姓名同单位，可能是同一导师使用多
 
 
 def recipients(to_text: Column) -> Column:
-    """Addresses in angle brackets; only if there are none, bare ones between separators."""
-    text = F.coalesce(to_text, F.lit(""))
+    """Addresses in angle brackets; only if there are none, bare ones between separators.  Quoted names are passed over."""
+    text = F.regexp_replace(F.coalesce(to_text, F.lit("")), QUOTED, '""')
     bracketed = F.transform(F.regexp_extract_all(text, F.lit("<([^>]+)>"), F.lit(1)), lambda x: F.lower(F.trim(x)))
     bare = F.transform(F.split(text, "[;,]"), lambda x: F.lower(F.regexp_extract(x, r"(?U)[\w.+-]+@[\w.+-]+", 0)))
     return F.when(F.size(bracketed) > 0, bracketed).otherwise(F.filter(bare, lambda x: x != ""))
@@ -35,6 +39,7 @@ def institution_of_domain(rows: DataFrame, email: str = "email", out: str = "ins
     The list is a small dimension table (one row a domain) that joins on all suffixes of the address' domain.
     """
     listed = L.DOMAINS if domains is None else domains
+    small = F.broadcast if len(listed) <= FEW_DOMAINS else (lambda df: df)
     spark = rows.sparkSession
     table = spark.createDataFrame(sorted(listed.items()) or [("", "")], "suffix string, place string")
     heads: dict[str, str] = {}
@@ -44,9 +49,9 @@ def institution_of_domain(rows: DataFrame, email: str = "email", out: str = "ins
     keys = rows.select(email).distinct().withColumn("domain", F.element_at(F.split(F.lower(F.trim(email)), "@"), -1))
     labels = F.split("domain", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    best = keys.select(email, F.explode(suffixes).alias("suffix")).join(F.broadcast(table), "suffix").groupBy(email).agg(F.max_by("place", F.length("suffix")).alias("place"))
+    best = keys.select(email, F.explode(suffixes).alias("suffix")).join(small(table), "suffix").groupBy(email).agg(F.max_by("place", F.length("suffix")).alias("place"))
     label = F.element_at(F.split(F.replace("domain", F.lit(".edu.cn"), F.lit("")), r"\."), -1)
-    found = keys.join(best, email, "left").withColumn("head", label).join(F.broadcast(head_table), "head", "left")
+    found = keys.join(best, email, "left").withColumn("head", label).join(small(head_table), "head", "left")
     fallback = F.when(F.col("domain").contains(".edu.cn"), F.coalesce("head_place", F.upper("head"))).when(F.col("domain").contains(".ac.cn") | F.col("domain").contains(".cas.cn"), L.ACADEMY).otherwise("")
     return rows.join(found.select(email, F.coalesce("place", fallback).alias(out)), email, "left")
 
@@ -64,7 +69,9 @@ def institution_in_text(text: Column, stop_words: Sequence[str] = L.INSTITUTION_
 
 def name_in_recipients(to_text: Column, email: Column) -> Column:
     """The name before the address in a recipient list; null if there is none."""
-    entries = F.transform(F.split(F.coalesce(to_text, F.lit("")), "[,;]"), lambda x: F.struct(F.lower(F.regexp_extract(x, "<([^>]+)>", 1)).alias("a"), F.regexp_replace(F.trim(F.regexp_extract(x, "^([^<]*)<", 1)), "^[\"']+|[\"']+$", "").alias("n")))
+    parts = F.regexp_extract_all(F.coalesce(to_text, F.lit("")), F.lit(rf'(?:{QUOTED}|[^,;"]|")+?(?=[,;]|$)'), F.lit(0))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(x, rf"^[,;]?\s*({QUOTED}|[^<]*)\s*<", 1)), "^[\"']+|[\"']+$", ""), r'\\(["\\])', "$1")
+    entries = F.transform(parts, lambda x: F.struct(F.lower(F.regexp_extract(F.regexp_replace(x, QUOTED, '""'), "<([^>]+)>", 1)).alias("a"), bare(x).alias("n")))
     named = F.filter(entries, lambda e: (F.trim(e.a) == email) & (F.trim(e.n) != "") & ~e.n.rlike(r"(?U)^[\w.+-]+@"))
     return F.trim(F.get(named, F.lit(0)).n)
 

@@ -149,3 +149,17 @@ def clear_analysis(spark: SparkSession, account_id: int, links: dict[KeyedTable,
             parents.append(parent)
     for parent in parents:
         parent.delete_where(F.col("account_id") == account_id)
+
+
+def setting_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Settings by name."""
+    return KeyedTable(spark, path, "key string, value string", ("key",), hashed("key", buckets=1))
+
+
+def setting(table: KeyedTable, key: str, default: str = "") -> str:
+    row = table.matching(table.spark.createDataFrame([(key,)], "key string")).first()
+    return default if row is None else row.value
+
+
+def set_setting(table: KeyedTable, key: str, value: str) -> None:
+    table.upsert(table.spark.createDataFrame([(key, value)], "key string, value string"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corrmail.sources import archive, mailbox, mime
-from corrmail.sources.tables import KeyedTable, hashed, ranged
+from corrmail.sources.tables import KeyedTable, hashed, ranged, set_setting, setting, setting_table
 from corrmail.streaming import state
 
 GBK = "您好，欢迎报名夏令营"
@@ -231,3 +231,11 @@ def test_sync_state_over_epochs_batches_and_restarts(spark, tmp_path):
     for _ in range(2):
         state.keep_synced(again, messages, marks)
     assert messages.read().filter("folder_id = 1").count() == 2 and marks.read().filter("folder_id = 1").first().last_sync_uid == 2
+
+
+def test_settings(spark, tmp_path):
+    table = setting_table(spark, str(tmp_path / "settings"))
+    assert setting(table, "a", "none") == "none"
+    for value in ("1", "2"):
+        set_setting(table, "a", value)
+    assert (setting(table, "a"), setting(table, "b")) == ("2", "")

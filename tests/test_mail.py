@@ -100,3 +100,15 @@ def test_sync_of_several_folders_keeps_a_log(spark, tmp_path):
     assert sync.sync_folders(spark, landings, str(tmp_path / "base"), OWNER, cancelled=lambda: next(calls))["status"] == "cancelled"
     runs = spark.read.parquet(str(tmp_path / "base" / "runs"))
     assert runs.count() == 3 and {r.status for r in runs.collect()} == {"completed", "cancelled"}
+
+
+def test_names_with_separators_come_back(spark):
+    from pyspark.sql import functions as F
+
+    from corrmail.operators.entities import name_in_recipients, recipients
+
+    raw = message("x").replace(b"Subject:", b'To: "Wang; Li, Jr." <W@pku.edu.cn>, plain@x.org, "A \\"B\\" <C>" <ab@x.org>, Prof. Q <q@x.org>\nSubject:', 1)
+    parsed = mime.parse_messages(spark.createDataFrame([("p", bytearray(raw))], "path string, content binary"))
+    row = mime.as_messages(parsed, OWNER).select("to_text", recipients(F.col("to_text")).alias("r"), *[name_in_recipients(F.col("to_text"), F.lit(a)).alias(a[:2]) for a in ("w@pku.edu.cn", "ab@x.org", "q@x.org")]).first()
+    assert row.r == ["w@pku.edu.cn", "plain@x.org", "ab@x.org", "q@x.org"]
+    assert (row["w@"], row["ab"], row["q@"]) == ("Wang; Li, Jr.", 'A "B" <C>', "Prof. Q")
