@@ -48,6 +48,19 @@ points as (select id, case when bounce then 0::double when auto then s0 * 0.3::d
 _NOTE = "'电话13812345678' || chr(10) || '证件11010519491231002X' || chr(10) || '住在北京市海淀区中关村大街一号楼' || chr(10)"
 _MASKED = f"regexp_replace(regexp_replace(regexp_replace({_NOTE}, '{L.PHONE}', '{L.PHONE_MASK}', 'g'), '{L.NATIONAL_ID}', '{L.NATIONAL_ID_MASK}', 'g'), '{L.ADDRESS}', '{L.ADDRESS_MASK}', 'g')"
 
+_LOCAL, _HOST = r"[\p{L}\p{N}_.+-]", r"[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
+
+
+def _masked_text(t: str) -> str:
+    """All masks in their order."""
+    for pattern, mask in ((L.PHONE, L.PHONE_MASK), (L.NATIONAL_ID, L.NATIONAL_ID_MASK), (L.ADDRESS, L.ADDRESS_MASK), (rf"({_LOCAL}){_LOCAL}{{2,}}@({_HOST})", r"\1***@\2"), (rf"(^|[^\p{{L}}\p{{N}}_.+*-]){_LOCAL}{{1,2}}@({_HOST})", r"\1***@\2")):
+        t = f"regexp_replace({t}, {_q(pattern)}, {_q(mask)}, 'g')"
+    return t
+
+
+#: A received message also answers if it is in one conversation with outreach.
+_IN_THREADS = _PEOPLE.replace("where s.message_id is not null or exists", "where s.message_id is not null or exists (select 1 from contact t where t.email = c.email and t.conv_id = c.conv_id) or exists", 1)
+
 ORACLES: dict[str, str] = {
     "mail_headers": _mail("select id, message_id, irt as in_reply_to, refs, sent_at as date, title as subject, sender as from_email, sender_name as from_name, receivers as to_text, '' as cc_text from mail"),
     "mail_bodies": _mail("select id, sha256(content) as body_hash, page as body_html_text, attached as has_attachments, file as attachment_names, case when attached then 'application/pdf' else '' end as attachment_types, left(sha256(message_id || '|' || title || '|' || left(content, 500)), 16) as content_hash from mail"),
@@ -131,4 +144,6 @@ ORACLES: dict[str, str] = {
         """,
         _TABLES,
     ),
+    "mask_truncate": f"select doc_id, length(t)::bigint as n, sha256(t) as cut_hash from (select doc_id, case when length(m) > 3000 then left(m, 3000) || {_q(L.CUT_MARK)} else m end as t from (select doc_id, {_masked_text("coalesce(text, '')")} as m from documents))",
+    "reply_with_threads": _with("select email, status, n as n_replies from stat", _SCORE, _IN_THREADS),
 }

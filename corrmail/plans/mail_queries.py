@@ -45,7 +45,7 @@ def mail_contact_score(spark, sf_dir):
 
 
 def mail_threads(spark, sf_dir):
-    return threads.build_threads(_mail(spark, sf_dir), use_subject=False).select("id", "thread_id")
+    return threads.build_threads(checkpointed(_mail(spark, sf_dir)), use_subject=False).select("id", "thread_id")
 
 
 def thread_of_message(spark, sf_dir):
@@ -62,7 +62,7 @@ def _outreach(mail: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def mail_thread_replies(spark, sf_dir):
-    mail = _mail(spark, sf_dir)
+    mail = checkpointed(_mail(spark, sf_dir))
     people, _, sent = _outreach(mail)
     tree = threads.build_threads(mail, use_subject=False)
     return replies.detect_replies(people, sent, mail, tree).filter("reason = 'thread'").select("email", "id", "is_auto")
@@ -76,7 +76,7 @@ def mail_reference_replies(spark, sf_dir):
 
 
 def mail_other_addresses(spark, sf_dir):
-    mail = _mail(spark, sf_dir)
+    mail = checkpointed(_mail(spark, sf_dir))
     people, _, sent = _outreach(mail)
     tree = threads.build_threads(mail, use_subject=False)
     return replies.other_addresses(replies.detect_replies(people, sent, mail, tree), mail).select("email", "address")

@@ -112,7 +112,8 @@ def privacy_warnings(spark, sf_dir):
 
 
 def mask_truncate(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.length(privacy.prepared("text")).cast("long").alias("n"))
+    cut = privacy.prepared("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length(cut).cast("long").alias("n"), F.sha2(cut.cast("binary"), 256).alias("cut_hash"))
 
 
 def formula_guard(spark, sf_dir):
