@@ -58,6 +58,37 @@ def _masked_text(t: str) -> str:
     return t
 
 
+
+
+def _institution(t: str) -> str:
+    """The first institution in a text, by the same word lists."""
+    for pattern in L.INSTITUTION_SELF:
+        t = f"regexp_replace({t}, {_q(pattern)}, '', 'g')"
+    found = t
+    for pattern in L.INSTITUTION_PATTERNS[::-1]:
+        found = f"list_concat(regexp_extract_all({t}, {_q(pattern)}), {found})" if found is not t else f"regexp_extract_all({t}, {_q(pattern)})"
+    bare = f"list_transform({found}, lambda x: regexp_replace(x, '^((' || {_q('|'.join(L.INSTITUTION_PREFIXES))} || ')\\s*)+', ''))"
+    return f"coalesce(list_filter({bare}, lambda x: not {_any('x', L.INSTITUTION_STOP_WORDS)} and length(x) >= 4 and {_any('x', ('大学', '学院', '研究所', '研究院'))})[1], '')"
+
+
+def _pick(words: tuple[str, ...], step: int) -> str:
+    return f"[{', '.join(map(_q, words))}][p_partkey // {step} % {len(words)} + 1]"
+
+
+_OPENERS = ("我是山东大学的学生，", "毕业于南京大学，", "", "您好，", "本人就读于复旦大学计算机学院，", "近期在浙江大学学习，了解到")
+_VERBS = ("想申请", "联系", "向", "报考", "给")
+_PLACES = ("清华大学", "中国科学院自动化研究所", "上海人工智能研究院", "北京大学计算机学院", "某实验室", "我毕业于武汉大学的母校", "东南大学和同济大学", "小学院")
+_GREETINGS = ("尊敬的", "尊敬的 ", "老师们，", "", "Dear ")
+_NAMES = ("王伟", "欧阳锋教授的", "李", "Müller", "张三李四王五", "")
+_TITLES = ("教授", " 老师您好", "导师 你好", "研究员：", "博导您好", "同学")
+_HONOURS = "(教授|老师|导师|研究员|博导)"
+
+
+def _salutation(t: str) -> str:
+    hits = [rf"regexp_extract({t}, '尊敬的\s*([\p{{L}}\p{{N}}_]{{1,4}})\s*{_HONOURS}', ['n', 't'])", rf"regexp_extract({t}, '([\p{{L}}\p{{N}}_]{{1,4}})\s*{_HONOURS}\s*(您好|你好)', ['n', 't', 'g'])"]
+    return "coalesce(" + ", ".join(f"nullif({h}.n || {h}.t, '')" for h in hits) + ", '')"
+
+
 #: A received message also answers if it is in one conversation with outreach.
 _IN_THREADS = _PEOPLE.replace("where s.message_id is not null or exists", "where s.message_id is not null or exists (select 1 from contact t where t.email = c.email and t.conv_id = c.conv_id) or exists", 1)
 
@@ -146,4 +177,6 @@ ORACLES: dict[str, str] = {
     ),
     "mask_truncate": f"select doc_id, length(t)::bigint as n, sha256(t) as cut_hash from (select doc_id, case when length(m) > 3000 then left(m, 3000) || {_q(L.CUT_MARK)} else m end as t from (select doc_id, {_masked_text("coalesce(text, '')")} as m from documents))",
     "reply_with_threads": _with("select email, status, n as n_replies from stat", _SCORE, _IN_THREADS),
+    "institution_varied": f"select p_partkey, {_institution('said')} as institution from (select p_partkey, {_pick(_OPENERS, 1)} || {_pick(_VERBS, 6)} || {_pick(_PLACES, 30)} || ' ' || p_name as said from part)",
+    "salutation_names": f"select p_partkey, {_salutation('left(body, 500)')} as name from (select p_partkey, {_pick(_GREETINGS, 1)} || {_pick(_NAMES, 5)} || {_pick(_TITLES, 30)} || '，' || p_name as body from part)",
 }

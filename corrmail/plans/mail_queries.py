@@ -115,6 +115,32 @@ def institution_text(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", entities.institution_in_text(line).alias("institution"))
 
 
+#: Parts of made-up sentences: who writes, what they want, and where.
+OPENERS = ("我是山东大学的学生，", "毕业于南京大学，", "", "您好，", "本人就读于复旦大学计算机学院，", "近期在浙江大学学习，了解到")
+VERBS = ("想申请", "联系", "向", "报考", "给")
+PLACES = ("清华大学", "中国科学院自动化研究所", "上海人工智能研究院", "北京大学计算机学院", "某实验室", "我毕业于武汉大学的母校", "东南大学和同济大学", "小学院")
+
+
+def institution_varied(spark, sf_dir):
+    """Sentences of every combination of opener, verb and place, with a name behind them."""
+    pick = lambda words, step: F.element_at(F.array(*[F.lit(x) for x in words]), (F.floor(F.col("p_partkey") / step) % len(words) + 1).cast("int"))
+    said = F.concat(pick(OPENERS, 1), pick(VERBS, len(OPENERS)), pick(PLACES, len(OPENERS) * len(VERBS)), F.lit(" "), F.col("p_name"))
+    return _table(spark, sf_dir, "part").select("p_partkey", entities.institution_in_text(said).alias("institution"))
+
+
+#: Parts of salutations, with and without one, and names that do not fit.
+GREETINGS = ("尊敬的", "尊敬的 ", "老师们，", "", "Dear ")
+NAMES = ("王伟", "欧阳锋教授的", "李", "Müller", "张三李四王五", "")
+TITLES = ("教授", " 老师您好", "导师 你好", "研究员：", "博导您好", "同学")
+
+
+def salutation_names(spark, sf_dir):
+    """Greetings of every combination, with a text behind them."""
+    pick = lambda words, step: F.element_at(F.array(*[F.lit(x) for x in words]), (F.floor(F.col("p_partkey") / step) % len(words) + 1).cast("int"))
+    body = F.concat(pick(GREETINGS, 1), pick(NAMES, len(GREETINGS)), pick(TITLES, len(GREETINGS) * len(NAMES)), F.lit("，"), F.col("p_name"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.coalesce(entities.name_in_salutation(body), F.lit("")).alias("name"))
+
+
 def subject_prefix(spark, sf_dir):
     mark = F.element_at(F.array(*[F.lit(x) for x in ("Re: ", "RE：", "Fwd: ", "转发: ", "回复：", "", "Re ")]), (F.col("p_partkey") % 7 + 1).cast("int"))
     return _table(spark, sf_dir, "part").select("p_partkey", text.stripped(text.subject_prefix(F.concat(mark, "p_name"))).alias("prefix"))
