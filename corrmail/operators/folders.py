@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrmail.functions import lexicon as L
+from corrmail.operators.merge import numbered
 
 
 def folder_type(name: Column, flags: Column | None = None) -> Column:
@@ -46,3 +47,13 @@ def by_type(folders: DataFrame) -> DataFrame:
 def totals(folders: DataFrame) -> DataFrame:
     """(n_folders, n_messages) of the folders that a scan would take."""
     return folders.agg(F.count("*").alias("n_folders"), F.coalesce(F.sum("message_count"), F.lit(0)).cast("long").alias("n_messages"))
+
+
+def mail_by_date(messages: DataFrame, sent: bool | None = None, account_id: int | None = None) -> DataFrame:
+    """Messages of an account, all or only those sent or received, numbered by date and id in ``place``; no date comes first."""
+    rows = messages.withColumn("date", F.coalesce("date", F.lit("")))
+    if sent is not None:
+        rows = rows.filter(F.col("is_sent_by_me") == sent)
+    if account_id is not None:
+        rows = rows.filter(F.col("account_id") == account_id)
+    return numbered(rows, ["date", "id"], "place")

@@ -82,14 +82,18 @@ def merged_table(people: DataFrame, status: DataFrame, my_status: DataFrame, rul
 
 
 def with_index(rows: DataFrame) -> DataFrame:
-    """Number rows by (name, email) from 1 without one sort of all: ranges are numbered and add what precedes them."""
-    ranged = rows.repartitionByRange("name", "email").withColumn("_part", F.spark_partition_id())
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy("name", "email"))
+    """Number rows by (name, email) from 1."""
+    return numbered(rows, ["name", "email"])
+
+
+def numbered(rows: DataFrame, order: list[str], out: str = "index") -> DataFrame:
+    """Number rows in an order from 1 without one sort of all: ranges are numbered and add what precedes them."""
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranged = checkpointed(ranged)
     starts = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
-    numbered = ranged.withColumn("_nth", inner).join(starts, "_part")
-    return numbered.withColumn("index", (F.col("_before") + F.col("_nth")).cast("long")).select("index", *rows.columns)
+    return ranged.withColumn("_nth", inner).join(starts, "_part").withColumn(out, (F.col("_before") + F.col("_nth")).cast("long")).select(out, *rows.columns)
 
 
 def statistics(merged: DataFrame, messages: DataFrame | None = None) -> DataFrame:

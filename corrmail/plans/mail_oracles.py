@@ -179,4 +179,6 @@ ORACLES: dict[str, str] = {
     "reply_with_threads": _with("select email, status, n as n_replies from stat", _SCORE, _IN_THREADS),
     "institution_varied": f"select p_partkey, {_institution('said')} as institution from (select p_partkey, {_pick(_OPENERS, 1)} || {_pick(_VERBS, 6)} || {_pick(_PLACES, 30)} || ' ' || p_name as said from part)",
     "salutation_names": f"select p_partkey, {_salutation('left(body, 500)')} as name from (select p_partkey, {_pick(_GREETINGS, 1)} || {_pick(_NAMES, 5)} || {_pick(_TITLES, 30)} || '，' || p_name as body from part)",
+    "sent_by_date": _mail("select row_number() over (order by sent_at, id) as place, id, sent_at as date from mail where own"),
+    "alias_file": """select c_name || ', "Prof."' as teacher_name, null::varchar as institution, 'p' || c_custkey || '@x.cn' as email, 'q' || c_custkey || '@y.cn' as alias_email, c_mktsegment as notes from customer""",
 }

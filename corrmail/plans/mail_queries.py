@@ -317,3 +317,16 @@ def rule_summaries(spark, sf_dir):
     rows = _messages(spark, sf_dir).select("id", F.when(F.col("id") % 7 == 0, " \n").otherwise(F.col("body_text")).alias("reply_body"), F.when(F.col("id") % 5 == 0, L.NO).when(F.col("id") % 5 == 1, L.UNSURE).otherwise(L.YES).alias("status"), F.lit(L.NOT_REPLIED).alias("my_status"))
     ruled = rules.classify(rows, rules=RULES)
     return ruled.select("id", "rule_summary", F.array_join("rule_evidence", "|").alias("evidence"), "rule_next_step")
+
+
+def sent_by_date(spark, sf_dir):
+    return folders.mail_by_date(_mail(spark, sf_dir).select("id", "date", "is_sent_by_me", "account_id"), sent=True, account_id=1).select("place", "id", "date")
+
+
+def alias_file(spark, sf_dir):
+    """A list of aliases as a CSV file with a byte order mark, read back."""
+    k = F.col("c_custkey").cast("string")
+    rows = _table(spark, sf_dir, "customer").select(F.concat(F.col("c_name"), F.lit(', "Prof."')).alias("teacher_name"), F.concat(F.lit("p"), k, F.lit("@x.cn")).alias("email"), F.concat(F.lit("q"), k, F.lit("@y.cn")).alias("alias_email"), F.col("c_mktsegment").alias("notes"))
+    place = _place(spark, "aliases") + ".csv"
+    document.write_csv_file(rows, place)
+    return mailbox.read_aliases(spark, place)

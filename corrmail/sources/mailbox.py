@@ -25,7 +25,7 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """Alias list in CSV with a header; a byte order mark is ignored."""
-    rows = spark.read.csv(path, header=True)
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
     names = [x.split()[0] for x in ALIAS.split(", ")]
     return rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names])
