@@ -92,6 +92,26 @@ def _salutation(t: str) -> str:
 #: A received message also answers if it is in one conversation with outreach.
 _IN_THREADS = _PEOPLE.replace("where s.message_id is not null or exists", "where s.message_id is not null or exists (select 1 from contact t where t.email = c.email and t.conv_id = c.conv_id) or exists", 1)
 
+def _guarded(c: str) -> str:
+    """A cell that a spreadsheet would take for a formula gets an apostrophe."""
+    return f"case when regexp_matches({c}, '^[=+@-]') then chr(39) || {c} else {c} end as {c}"
+
+
+#: What the summary table says of each reply: its text, sentences that tell, and the next step.
+_DETAILS = f"""
+fixed(status, summary, step) as (values {", ".join(f"({_q(k)}, {_q(L.FIXED_RESULTS[k][0])}, {_q(L.FIXED_RESULTS[k][3])})" for k in (L.NO, L.UNSURE))}),
+said as (select email, case when f.status is null then list_filter(list_transform(regexp_split_to_array(t, '[。！？\\n;；.!?]+'), lambda x: {_strip("x")}), lambda x: length(x) >= 4 and {_any("x", (*_POS, *_UNC, *_NEG))})[1:5] else [] end as proof,
+    coalesce(f.summary, left(t, 300)) as summary, f.step as fixed_step from acted left join fixed f on f.status = acted.status),
+full_table as (select m.*, m.email as emails, summary as reply_summary, array_to_string(proof, '; ') as evidence, coalesce(fixed_step, c.step) as recommended_next_step
+    from merged m join said using (email) join actions c on c.code = m.act)
+"""
+_TEXTS = ("name", "institution", "emails", "first_sent_at", "last_sent_at", "correspondence", "has_real_reply", "reply_time", "responder", "reply_summary", "evidence", "admission_intent", "my_reply_status", "action_required", "recommended_next_step")
+
+
+def _full(rest: str) -> str:
+    return _with(rest, _SCORE, _PEOPLE, _TABLES, _MERGED, _DETAILS)
+
+
 ORACLES: dict[str, str] = {
     "mail_headers": _mail("select id, message_id, irt as in_reply_to, refs, sent_at as date, title as subject, sender as from_email, sender_name as from_name, receivers as to_text, '' as cc_text from mail"),
     "mail_bodies": _mail("select id, sha256(content) as body_hash, page as body_html_text, attached as has_attachments, file as attachment_names, case when attached then 'application/pdf' else '' end as attachment_types, left(sha256(message_id || '|' || title || '|' || left(content, 500)), 16) as content_hash from mail"),
@@ -181,4 +201,7 @@ ORACLES: dict[str, str] = {
     "salutation_names": f"select p_partkey, {_salutation('left(body, 500)')} as name from (select p_partkey, {_pick(_GREETINGS, 1)} || {_pick(_NAMES, 5)} || {_pick(_TITLES, 30)} || '，' || p_name as body from part)",
     "sent_by_date": _mail("select row_number() over (order by sent_at, id) as place, id, sent_at as date from mail where own"),
     "alias_file": """select c_name || ', "Prof."' as teacher_name, null::varchar as institution, 'p' || c_custkey || '@x.cn' as email, 'q' || c_custkey || '@y.cn' as alias_email, c_mktsegment as notes from customer""",
+    "merged_details": _full('select "index", email, emails, reply_summary, evidence, recommended_next_step from full_table'),
+    "display_texts": _full('select "index" as "序号", name as "导师姓名", institution as "学校/单位", emails as "邮箱", send_count as "发送次数", has_real_reply as "回复状态", reply_time as "回复时间", reply_summary as "回复摘要", admission_intent as "招生意向", my_reply_status as "我是否回复", action_required as "建议行动", confidence as "置信度", needs_review as "需要复核" from full_table'),
+    "export_texts": _full(f"""select "index"::varchar as row, {", ".join(map(_guarded, _TEXTS))}, send_count::varchar as send_count, confidence::varchar as confidence, '是' as needs_review from full_table"""),
 }

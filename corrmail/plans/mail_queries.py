@@ -330,3 +330,18 @@ def alias_file(spark, sf_dir):
     place = _place(spark, "aliases") + ".csv"
     document.write_csv_file(rows, place)
     return mailbox.read_aliases(spark, place)
+
+
+def merged_details(spark, sf_dir):
+    """The columns of the summary table that merged_table leaves out: addresses, summary, evidence and next step."""
+    return _analysis(spark, sf_dir).merged.select("index", "email", "emails", "reply_summary", "evidence", "recommended_next_step")
+
+
+def display_texts(spark, sf_dir):
+    """All thirteen columns on screen."""
+    return merge.display_table(_analysis(spark, sf_dir).merged)
+
+
+def export_texts(spark, sf_dir):
+    """All nineteen columns of the export, as guarded text."""
+    return sinks.export_frame(_analysis(spark, sf_dir).merged, labels=False).withColumnRenamed("index", "row")
