@@ -267,7 +267,7 @@ def sync_epochs(spark, sf_dir):
     messages, marks = state.message_table(spark, _place(spark, "messages"), schema), state.mark_table(spark, _place(spark, "marks"))
     for rows in (events.filter("uid % 3 > 0"), events):  # the second run lists all again
         rows.write.mode("append").parquet(landing)
-        state.run_sync(spark.readStream.schema(schema).parquet(landing), messages, marks, checkpoint).awaitTermination()
+        state.run_sync(spark.readStream.schema(schema).parquet(landing), messages, marks, checkpoint, partitions=8).awaitTermination()
     return state.current(messages, marks).select("folder_id", "uidvalidity", "uid", "body")
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corrmail.sources.tables import KeyedTable, ranged
@@ -141,9 +141,19 @@ def mark_table(spark: SparkSession, path: str) -> KeyedTable:
     return KeyedTable(spark, path, MARKS, ("account_id", "folder_id"))
 
 
-def run_sync(stream: DataFrame, messages: KeyedTable, marks: KeyedTable, checkpoint: str):
-    """Take all that has come in, store it, and end; the state outlives the run in ``checkpoint``."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def run_sync(stream: DataFrame, messages: KeyedTable, marks: KeyedTable, checkpoint: str, partitions: int | None = None) -> StreamingQuery:
+    """Take all that has come in, store it, and end; the state outlives the run in ``checkpoint``.
+
+    ``partitions``: into how many parts the state is dealt, those of a shuffle by default; the first run decides.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     write = synced(stream).writeStream.outputMode("append").foreachBatch(lambda batch, _: keep_synced(batch, messages, marks))
-    return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write = write.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    before = conf.get(key)
+    if partitions:
+        conf.set(key, partitions)  # a query takes the settings over when it starts
+    try:
+        return write.start()
+    finally:
+        conf.set(key, before)
