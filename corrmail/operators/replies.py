@@ -10,7 +10,7 @@ from corrmail.functions import lexicon as L
 from corrmail.functions.text import is_own_reply, normalize_subject
 from corrmail.operators.entities import recipients
 from corrmail.operators.graph import checkpointed
-from corrmail.operators.similar import similar_subjects
+from corrmail.operators.similar import best_similar
 
 SIMILAR = 0.6
 REASONS = ("thread", "in_reply_to", "references", "subject")
@@ -52,7 +52,7 @@ def detect_replies(people: DataFrame, sent: DataFrame, messages: DataFrame, thre
     cited = by_address.select("email", "id", F.explode("references").alias("sent_id")).join(ids, ["email", "sent_id"], "left_semi").select("email", "id", F.lit(3).alias("rank"))
     asked = by_address.select("email", "id", normalize_subject("subject").alias("s1")).filter("s1 != ''")
     given = sent.select("email", normalize_subject("subject").alias("s2")).filter("s2 != ''")
-    alike = similar_subjects(asked, given, "email", SIMILAR).select("email", "s1").distinct()
+    alike = best_similar(asked, given.withColumn("weight", F.lit(0)), "email", SIMILAR).select("email", "s1")
     close = asked.join(alike, ["email", "s1"]).select("email", "id", F.lit(4).alias("rank"))
     mate = by_address.filter("mate").select("email", "id", F.lit(1).alias("rank"))
     ranked = mate.union(direct).union(cited).union(close).groupBy("email", "id").agg(F.min("rank").alias("rank"))
@@ -134,10 +134,10 @@ def unanswered(replies: DataFrame, messages: DataFrame) -> DataFrame:
     undated = F.max(F.col("sent_date") == "").alias("undated")
     to_person = sent.select("sent_date", F.explode(F.array_distinct("to")).alias("email"), normalize_subject("sent_subject").alias("s2")).filter("s2 != ''")
     to_person = to_person.groupBy("email", "s2").agg(F.max("sent_date").alias("sent_date"), undated)
+    to_person = to_person.select("email", "s2", F.struct("undated", "sent_date").alias("weight"))  # an undated one answers whatever it is
     asked = real.withColumn("s1", normalize_subject("subject")).filter("s1 != ''")
-    alike = similar_subjects(asked, to_person, "email", SIMILAR)
-    pairs = alike.join(to_person, ["email", "s2"]).groupBy("email", "s1").agg(F.max("sent_date").alias("sent_date"), F.max("undated").alias("undated"))
-    by_subject = asked.join(pairs, ["email", "s1"]).filter(later | F.col("undated")).select("email", "id")
+    alike = best_similar(asked, to_person, "email", SIMILAR).select("email", "s1", "weight.*")
+    by_subject = asked.join(alike, ["email", "s1"]).filter(later | F.col("undated")).select("email", "id")
     answered = by_id.union(by_subject).distinct()
     return real.join(answered, ["email", "id"], "left_anti").select("email", "id", "date")
 

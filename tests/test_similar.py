@@ -57,3 +57,27 @@ def test_pairs_equal_all_pairs_and_few_are_compared(spark):
 def test_no_subjects(spark):
     none = spark.createDataFrame([], SUBJECTS)
     assert similar.similar_subjects(none.withColumnRenamed("s", "s1"), none.withColumnRenamed("s", "s2")).count() == 0
+
+
+def test_best_weights_equal_all_pairs_and_few_are_compared(spark):
+    rng = random.Random(3)
+    subjects = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(30)).strip() for _ in range(1200)]
+    subjects += ["".join(rng.choice("数学物理化学生物") for _ in range(3)) for _ in range(40)]
+    turned = [s[::-1] for s in subjects[:60]]  # the same letters, another subject
+    a = [("q" if rng.random() < 0.1 else "p", s) for s in subjects[::2] + subjects[:50] + turned]
+    b = [("q" if rng.random() < 0.1 else "p", s, rng.randrange(100)) for s in subjects[1::2] + subjects[:50]]
+    best, every = {}, 0
+    for e, s in set(a):
+        same = [(t, w) for f, t, w in b if e == f]
+        every += len(same)
+        hits = [w for t, w in same if s == t or jaccard(letters(s), letters(t)) >= 0.6]
+        if hits:
+            best[e, s] = max(hits)
+    asked = spark.createDataFrame(a, SUBJECTS).withColumnRenamed("s", "s1")
+    given = spark.createDataFrame(b, "email string, s2 string, weight int")
+    met = []
+    got = {(r.email, r.s1): r.weight for r in similar.best_similar(asked, given, met=met).collect()}
+    assert got == best and len(met) > 1
+    assert sum(met) < every / 3
+    none = given.limit(0)
+    assert similar.best_similar(asked, none).count() == 0 and similar.best_similar(asked.limit(0), given).count() == 0
