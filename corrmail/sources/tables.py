@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 BUCKET, LIVE = "_bucket", "_live"
+#: Folders that ranges of the same keys are dealt to: a table of any length has few, so a change of all of it writes few files.
+FOLDERS = 256
 
 
 def hashed(*keys: str, buckets: int = 64) -> Column:
@@ -25,8 +27,11 @@ def hashed(*keys: str, buckets: int = 64) -> Column:
 
 
 def ranged(number: str, *keys: str, size: int = 1 << 20) -> Column:
-    """One bucket for ``size`` successive numbers of the same ``keys``: for tables that grow at their end."""
-    return F.concat_ws("-", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.floor(F.col(number) / size).cast("string"))
+    """One bucket for ``size`` successive numbers of the same ``keys``: for tables that grow at their end.
+
+    Beyond ``FOLDERS`` ranges the buckets are used again, so each holds several ranges of a long table.
+    """
+    return F.concat_ws("-", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.pmod(F.floor(F.col(number) / size), F.lit(FOLDERS)).cast("string"))
 
 
 class KeyedTable:
@@ -72,9 +77,10 @@ class KeyedTable:
         return rows.join(right, on, how)
 
     def _write(self, rows: DataFrame, buckets: list[str]) -> None:
+        """Each bucket is written by one task (a large one by several), so files are as many as buckets."""
         marks = self.spark.createDataFrame([(b, False) for b in buckets], f"{BUCKET} string, {LIVE} boolean")
         rows = rows.select(*self.schema.names, BUCKET, F.lit(True).alias(LIVE)).unionByName(marks, allowMissingColumns=True)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        rows.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
     def _latest(self, rows: DataFrame, order: Sequence[str]) -> DataFrame:
         if not order:

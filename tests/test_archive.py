@@ -166,6 +166,17 @@ def test_keyed_table_equals_dictionary(spark, tmp_path):
     assert table.read().count() == 0
 
 
+def test_long_table_has_few_folders_with_a_file_each(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), TABLE, ["k"], ranged("k", size=2))
+    table.upsert(spark.range(-100, 1500, 1, 8).selectExpr("id as k", "'a' as name", "0L as n"))
+    table.update(spark.range(0, 1500, 3).selectExpr("id as k"), n=F.col("n") + 1)
+    table.delete(spark.range(0, 1500, 5).selectExpr("id as k"))
+    rows = table.read()
+    assert sorted((r.k, r.n) for r in rows.collect()) == [(k, int(k >= 0 and k % 3 == 0)) for k in range(-100, 1500) if k < 0 or k % 5]
+    files = [r[0] for r in rows.select(F.input_file_name()).distinct().collect()]
+    assert len(files) == len({os.path.dirname(f) for f in files}) <= 256
+
+
 def test_change_reads_and_writes_only_touched_buckets(spark, tmp_path):
     path = str(tmp_path / "t")
     table = KeyedTable(spark, path, TABLE, ["k"], ranged("k", size=100))
