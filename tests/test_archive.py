@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corrmail.sources import archive, mailbox, mime
-from corrmail.sources.tables import KeyedTable, hashed, ranged, set_setting, setting, setting_table
+from corrmail.sources.tables import KeyedTable, clear_analysis, hashed, ranged, set_setting, setting, setting_table
 from corrmail.streaming import state
 
 GBK = "您好，欢迎报名夏令营"
@@ -177,6 +177,18 @@ def test_long_table_has_few_folders_with_a_file_each(spark, tmp_path):
     assert len(files) == len({os.path.dirname(f) for f in files}) <= 256
 
 
+def test_account_of_a_long_table_is_cleared(spark, tmp_path):
+    people = KeyedTable(spark, str(tmp_path / "p"), "k long, account_id long", ["k"], ranged("k", size=1))
+    links = KeyedTable(spark, str(tmp_path / "l"), "id long, person long", ["id"], ranged("id", size=2))
+    people.upsert(spark.range(600).selectExpr("id as k", "id % 5 as account_id"))
+    links.upsert(spark.range(1200).selectExpr("id", "id div 2 as person"))
+    clear_analysis(spark, 3, {links: (people, "person", "k")})
+    assert sorted(r.k for r in people.read().collect()) == [k for k in range(600) if k % 5 != 3]
+    assert sorted(r.id for r in links.read().collect()) == [i for i in range(1200) if i // 2 % 5 != 3]
+    files = [r[0] for r in links.read().select(F.input_file_name()).distinct().collect()]
+    assert len(files) == len({os.path.dirname(f) for f in files}) <= 256
+
+
 def test_change_reads_and_writes_only_touched_buckets(spark, tmp_path):
     path = str(tmp_path / "t")
     table = KeyedTable(spark, path, TABLE, ["k"], ranged("k", size=100))
