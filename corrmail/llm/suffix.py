@@ -324,7 +324,7 @@ def repeated_spans(docs: DataFrame, batch_bytes: int = 2 << 20, shard_bytes: int
                     windows = windows[~again]
                     for s, k in by_shard(shards(windows["a"])):
                         parts.setdefault((s, True), []).append(windows[k].tobytes())
-                rows = np.concatenate([rows, place.view(np.uint8).reshape(len(place), -1)], axis=1)
+                rows = np.concatenate([rows, place.view(np.uint8).reshape(len(place), _PLACE.itemsize)], axis=1)  # a slice may have no repeated anchor
                 some = np.flatnonzero(~is_hot)
                 for s, k in by_shard(shards(dealt[some])):
                     parts.setdefault((s, False), []).append(rows[some[k]].tobytes())

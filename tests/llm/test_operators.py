@@ -134,6 +134,14 @@ def test_suffix_dedup(spark, docs, empty):
     assert suffix.drop_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_a_slice_without_repeats(spark):
+    long = np.random.default_rng(3).integers(97, 123, 1 << 20, dtype=np.uint8).tobytes().decode()
+    rows = [(0, "ab" + prose(5, 60)), (1, long), (2, prose(5, 60) + "cd")]
+    got = {r.doc_id: r for r in suffix.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    same = len(prose(5, 60))
+    assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans) for k in range(3)] == [(same + 2, 0, 0), (len(long), 0, 0), (same + 2, same, 1)]
+
+
 def test_suffix_dedup_of_hot_anchors(spark):
     passage = prose(21, 60)
     rows = [(k, f"{prose(300 + k, 12)} {passage} {prose(900 + k % 40, 12)}", *[None] * 7) for k in range(120)]
