@@ -25,19 +25,20 @@ def sent_to(people: DataFrame, links: DataFrame, messages: DataFrame) -> DataFra
     return linked.unionByName(named).drop("to_text")
 
 
-def detect_replies(people: DataFrame, sent: DataFrame, messages: DataFrame, threads: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
+def detect_replies(people: DataFrame, sent: DataFrame, messages: DataFrame, threads: DataFrame | None = None, addresses: DataFrame | None = None, own: bool = True) -> DataFrame:
     """(email, id, reason, is_auto) of received messages that answer somebody's outreach.
 
     ``addresses`` (email, address) lists more addresses of a person; with ``since`` (date, id), only messages after
     that one count by the address.  With ``threads`` (id, thread_id), messages in a thread of a sent one count
-    whatever their sender.  Automatic replies are reported but are not replies.
+    whatever their sender.  Automatic replies are reported but are not replies.  Without ``own``, only
+    ``addresses`` count.
     """
     at = F.struct(F.coalesce("date", F.lit("")).alias("date"), "id")
-    own = people.select("email", F.col("email").alias("address"), F.lit(None).cast("struct<date: string, id: long>").alias("since"))
-    known = own
+    known = people.select("email", F.col("email").alias("address"), F.lit(None).cast("struct<date: string, id: long>").alias("since"))
     if addresses is not None:
         since = F.col("since") if "since" in addresses.columns else F.lit(None).cast("struct<date: string, id: long>").alias("since")
-        known = own.unionByName(addresses.select("email", "address", since))
+        more = addresses.select("email", "address", since)
+        known = known.unionByName(more) if own else more
     received = messages.filter("not is_sent_by_me and not is_bounce")
     by_address = known.join(received.withColumn("address", F.lower("from_email")), "address").filter(F.col("since").isNull() | (at > F.col("since")))
     by_address = by_address.drop("address", "since").dropDuplicates(["email", "id"]).withColumn("mate", F.lit(False))
@@ -74,25 +75,20 @@ def detect_with_addresses(people: DataFrame, sent: DataFrame, messages: DataFram
     """The replies, and the addresses (email, address, since) that people were found to answer from.
 
     An address that answers within a thread belongs to the person from that message on: what it sends later counts by
-    address too.  Each round looks only at the addresses that the last one found, until none is new; an address whose
-    first message turns out to be earlier counts as new.
+    address too.  Such messages come from these addresses and are later, so they tell no further address and no earlier
+    start: one pass over them is enough.
     """
     columns = ["email", "id", "reason", "is_auto"]
     found = checkpointed(detect_replies(people, sent, messages, threads).select(*columns))
     known = checkpointed(other_addresses(found, messages))
-    fresh = known
-    while not fresh.isEmpty():
-        some = people.join(fresh.select("email").distinct(), "email", "left_semi")
-        mine = sent.join(some.select("email"), "email", "left_semi")
-        more = detect_replies(some, mine, messages, None, fresh).select(*columns)
-        rank = F.when(F.col("reason") == "", len(REASONS)).otherwise(F.array_position(F.array(*[F.lit(r) for r in REASONS]), "reason") - 1)
-        best = found.unionByName(more).groupBy("email", "id").agg(F.min_by(F.struct("reason", "is_auto"), rank).alias("r"))
-        found = checkpointed(best.select("email", "id", "r.reason", "r.is_auto"))
-        now = checkpointed(other_addresses(found, messages))
-        old = known.select("email", "address", F.col("since").alias("_since"))
-        fresh = now.join(old, ["email", "address"], "left").filter(F.col("_since").isNull() | (F.col("since") < F.col("_since"))).drop("_since")
-        known = now
-    return found, known
+    if known.isEmpty():
+        return found, known
+    some = people.join(known.select("email").distinct(), "email", "left_semi")
+    mine = sent.join(some.select("email"), "email", "left_semi")
+    more = detect_replies(some, mine, messages, None, known, own=False).select(*columns)
+    rank = F.when(F.col("reason") == "", len(REASONS)).otherwise(F.array_position(F.array(*[F.lit(r) for r in REASONS]), "reason") - 1)
+    best = found.unionByName(more).groupBy("email", "id").agg(F.min_by(F.struct("reason", "is_auto"), rank).alias("r"))
+    return checkpointed(best.select("email", "id", "r.reason", "r.is_auto")), known
 
 
 def all_addresses(people: DataFrame, addresses: DataFrame) -> DataFrame:

@@ -128,6 +128,21 @@ def test_other_addresses_through_threads(spark, messages):
     assert {r.email: r.n_replies for r in analyze(early, Options(use_threads=True, owner=ME)).status.collect()}["wang@pku.edu.cn"] == 1
 
 
+def test_addresses_come_from_threads_alone(spark, messages):
+    rows = [
+        sent(1, "a@x.cn", "Some subject"),
+        received(3, "z@y.cn", "Re: Some subject", "yes", irt="<m1@x>"),
+        received(5, "z@y.cn", "Re: Some subject", "and more"),
+        received(5, "q@z.cn", "Something else", "to nobody")[:1] + ("<other@x>",) + received(5, "q@z.cn", "Something else", "to nobody")[2:],
+    ]
+    mail = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "'' as cc_text", "'' as subject_normalized")
+    people = spark.createDataFrame([("a@x.cn",)], "email string")
+    sent_rows = mail.filter("is_sent_by_me").selectExpr("'a@x.cn' as email", "id", "message_id", "subject")
+    found, known = replies.detect_with_addresses(people, sent_rows, mail, threads.build_threads(mail, use_subject=False))
+    assert [(r.address, r.since.id) for r in known.collect()] == [("z@y.cn", 3)]
+    assert {(r.id, r.reason) for r in found.collect()} == {(3, "thread"), (5, "subject")}
+
+
 def test_overrides_and_model(spark, messages):
     log = spark.createDataFrame([("wang@pku.edu.cn", "name", "旧", 1), ("wang@pku.edu.cn", "name", "新", 2), ("wang@pku.edu.cn", "status", L.YES, 1)], "email string, field string, value string, seq long").selectExpr("*", "timestamp'2024-01-01' as created_at")
     answer = json.dumps({"reply_summary": "s", "evidence_sentences": ["e1", "e2"], "admission_intent": L.INTENTS["WELCOME_JOIN"], "action_required": "?", "recommended_next_step": "go", "actual_responder_role": "本人", "confidence": 0.95, "ambiguity_reason": ""}, ensure_ascii=False)
