@@ -14,7 +14,7 @@ METHODS = ("in_reply_to", "references", "subject")
 
 def addresses(sender: Column, *texts: Column) -> Column:
     """Distinct lower-case addresses of the sender and in the recipient texts."""
-    found = [F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("(?U)" + EMAIL), F.lit(0)) for t in texts]
+    found = [F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(EMAIL), F.lit(0)) for t in texts]
     return F.filter(F.array_distinct(F.concat(F.array(F.lower(F.trim(F.coalesce(sender, F.lit(""))))), *found)), lambda x: x != "")
 
 

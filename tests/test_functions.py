@@ -79,6 +79,13 @@ def test_masks(spark):
     assert cut.startswith("abcde\n") and len(cut) > 5
 
 
+def test_letters_and_numbers_of_an_address(spark):
+    """Letters and numbers of any kind belong to an address, marks and joiners end it; a mask in front does not hide it."""
+    for raw, safe in (("e\u0301lan.x@m.cn", "e\u0301l***@m.cn"), ("①②③④@m.cn", "①***@m.cn"), ("x²y@m.cn", "x***@m.cn"), ("a‿bcd@m.cn", "a‿b***@m.cn"), ("***地址***04@m.cn", "***地址******@m.cn")):
+        assert value(spark, privacy.mask_emails("s"), s=raw) == safe
+    assert value(spark, privacy.warnings("s"), s="½@m.cn \u0301@m.cn") == ["包含 1 个邮箱地址"]
+
+
 def test_folders(spark):
     kind = lambda name, flags: value(spark, folders.folder_type(F.col("n"), F.col("f")), n=name, f=flags)
     assert kind("whatever", ["\\HasNoChildren", "\\Junk"]) == "spam"
