@@ -1,8 +1,9 @@
 """Optional analysis of replies by an outside model: a function that users supply, applied in batches.
 
 A text that the model fails on costs that text alone: a batch that fails is halved until the text stands alone, which
-is then tried a bounded number of times.  Answers are kept by the hash of the text that was asked, so a later run asks
-only for texts that have no answer yet, and repeated texts are asked once.
+is then tried a bounded number of times.  The more texts failed of late, the smaller the batches, so a model that fails
+often is not asked again and again for the texts beside.  Answers are kept by the hash of the text that was asked, so a
+later run asks only for texts that have no answer yet, and repeated texts are asked once.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 
 from corrmail.functions import lexicon as L
 from corrmail.functions.privacy import prepared
+from corrmail.operators.graph import stored
 from corrmail.sources.tables import KeyedTable, hashed
 
 RESULT = "reply_summary string, evidence_sentences array<string>, admission_intent string, action_required string, recommended_next_step string, actual_responder_role string, confidence double, ambiguity_reason string"
 ANSWERS = "text_hash string, answer string, error string, tries long"
 TRIES, BATCH = 3, 32
+#: What an older batch counts for beside the next one, when the share of failures is reckoned.
+FADING = 0.95
 
 
 def ask(model: Callable[[pd.Series], pd.Series], texts: pd.Series, tries: int = TRIES) -> list[tuple[str | None, str | None, int]]:
@@ -40,14 +44,21 @@ def ask(model: Callable[[pd.Series], pd.Series], texts: pd.Series, tries: int =
 
 
 def answers_of(texts: DataFrame, model: Callable[[pd.Series], pd.Series], batch: int = BATCH, tries: int = TRIES) -> DataFrame:
-    """(text_hash, answer, error, tries) of the distinct texts in (text)."""
+    """(text_hash, answer, error, tries) of the distinct texts in (text), asked for in batches of at most ``batch``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size, seen, failed = batch, 0.0, 0.0
         for f in frames:
-            for at in range(0, len(f), batch):
-                some = f.iloc[at : at + batch]
-                rows = [(h, *r) for h, r in zip(some["text_hash"], ask(model, some["text"], tries))]
-                yield pd.DataFrame(rows, columns=["text_hash", "answer", "error", "tries"])
+            at, rows = 0, []
+            while at < len(f):
+                got = ask(model, f["text"].iloc[at : at + size], tries)
+                rows += got
+                at += size
+                seen, failed = seen * FADING + len(got), failed * FADING + sum(error is not None for _, error, _ in got)
+                size = batch if failed * batch <= 0.7 * seen else max(1, int(0.7 * seen / failed))  # about every other batch fails (ln 2)
+            said = pd.DataFrame(rows, columns=["answer", "error", "tries"])
+            said.insert(0, "text_hash", f["text_hash"].to_numpy())
+            yield said
 
     asked = texts.select(F.sha2("text", 256).alias("text_hash"), "text").dropDuplicates(["text_hash"])
     return asked.mapInPandas(run, ANSWERS)
@@ -71,7 +82,8 @@ def analyze_with_model(bundles: DataFrame, model: Callable[[pd.Series], pd.Serie
         said = answers_of(asked, model, tries=tries)
     else:
         known = answers.matching(asked.select("text_hash").distinct()).filter("error is null")
-        answers.upsert(answers_of(asked.join(known.select("text_hash"), "text_hash", "left_anti"), model, tries=tries))
+        said = answers_of(asked.join(known.select("text_hash"), "text_hash", "left_anti"), model, tries=tries)
+        answers.upsert(stored(said))  # an upsert reads its rows twice; the model is asked once
         said = answers.matching(asked.select("text_hash").distinct())
     got = asked.select("email", "text_hash").join(said, "text_hash").select("email", F.from_json("answer", RESULT).alias("r")).filter("r.confidence is not null")
     known_label = lambda c, table, other: F.when(F.col(c).isin(*table.values()), F.col(c)).otherwise(other)

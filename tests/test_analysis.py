@@ -222,6 +222,28 @@ def test_model_failures_cost_one_row_and_answers_are_kept(spark, tmp_path):
     assert {r.error for r in table.read().filter("error is not null").collect()} == {"RuntimeError: down"}
 
 
+def test_model_is_asked_once_and_seldom_beside_failures(spark, tmp_path):
+    calls = tmp_path / "calls"
+    bundles = spark.range(1200).selectExpr("concat('e', id) as email", "concat('text ', id) as bundle")
+
+    def asked(fails, name):
+        def model(texts):
+            with open(calls, "a") as f:
+                f.write("".join(t + "\n" for t in texts))
+            if any(fails(int(t.split()[1])) for t in texts):
+                raise RuntimeError("down")
+            return pd.Series(['{"reply_summary": "' + t + '", "confidence": 0.9}' for t in texts])
+
+        calls.write_text("")
+        got = enrich.analyze_with_model(bundles, model, answers=enrich.answer_table(spark, str(tmp_path / name)), tries=1)
+        assert sorted((r.email, r.summary) for r in got.collect()) == sorted((f"e{k}", f"text {k}") for k in range(1200) if not fails(k))
+        return Counter(calls.read_text().split("\n")[:-1])
+
+    assert asked(lambda k: False, "sure") == {f"text {k}": 1 for k in range(1200)}
+    often = asked(lambda k: k * 7919 % 1201 % 3 == 0, "often")
+    assert len(often) == 1200 and sum(often.values()) < 3 * 1200
+
+
 def test_workbook_look():
     """Header cells have their own format, columns the width of their text within bounds; every part is well formed."""
     file = zipfile.ZipFile(io.BytesIO(sinks.workbook([("a<b", ["id", "text"], [(1, "x" * 20), (None, "y" * 99)]), ("none", ["id"], [])])))
