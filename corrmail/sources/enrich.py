@@ -61,7 +61,8 @@ def answers_of(texts: DataFrame, model: Callable[[pd.Series], pd.Series], batch:
             yield said
 
     asked = texts.select(F.sha2("text", 256).alias("text_hash"), "text").dropDuplicates(["text_hash"])
-    return asked.mapInPandas(run, ANSWERS)
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so many, as the work is the model's: few bytes are not merged into few tasks
+    return asked.repartition(tasks, "text").mapInPandas(run, ANSWERS)  # by the hash again would be left out as done
 
 
 def answer_table(spark, path: str) -> KeyedTable:
@@ -81,6 +82,7 @@ def analyze_with_model(bundles: DataFrame, model: Callable[[pd.Series], pd.Serie
     if answers is None:
         said = answers_of(asked, model, tries=tries)
     else:
+        asked = stored(asked)  # masked once; read six times
         known = answers.matching(asked.select("text_hash").distinct()).filter("error is null")
         said = answers_of(asked.join(known.select("text_hash"), "text_hash", "left_anti"), model, tries=tries)
         answers.upsert(stored(said))  # an upsert reads its rows twice; the model is asked once
